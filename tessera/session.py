@@ -10,7 +10,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 _LOCAL: dict[str, str] = {}
 
@@ -58,3 +58,11 @@ def small_batches(spark: SparkSession, rows: int = 500, size: int = 16 << 20) ->
     for key, value in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", size)):
         if spark.conf.get(f"spark.sql.execution.arrow.{key}", None) in (None, "10000"):
             spark.conf.set(f"spark.sql.execution.arrow.{key}", str(value))
+
+
+def broadcast_if(df: DataFrame, rows: int) -> DataFrame:
+    """df marked for broadcast if it has at most that many rows, else as it is: then a join shuffles.
+
+    df is counted, so it should be materialized; its rows should have a bounded size.
+    """
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
