@@ -58,7 +58,7 @@ def lower_bar(findings: DataFrame, files: DataFrame) -> DataFrame:
     """Findings in scripts and tests go one severity down, and leave below low."""
     soft = files.where("is_test OR is_script").select("path").distinct().withColumn("_soft", F.lit(True))
     rank = severity_rank(F.col("severity"))
-    softer = F.element_at(F.lit(list(SEVERITIES)), F.greatest(rank - 1, F.lit(1)))
+    softer = F.get(F.lit(list(SEVERITIES)), F.greatest(rank - 2, F.lit(0)))
     rows = findings.join(soft, "path", "left").where(F.col("_soft").isNull() | (rank > 1))
     return rows.withColumn("severity", F.when(F.col("_soft"), softer).otherwise(F.col("severity"))).drop("_soft")
 

@@ -55,7 +55,7 @@ def reach_labels(files: DataFrame, edges: DataFrame, roots: DataFrame, order: tu
     found = reach(edges, roots.where(F.col("kind").isin(*order)))
     best = found.groupBy("node").agg(F.min(F.array_position(F.lit(list(order)), F.col("root_kind"))).alias("rank"))
     known = F.col("lang").isin("python", "javascript", "typescript")
-    label = F.coalesce(F.element_at(F.lit(list(order)), F.col("rank").cast("int")), F.lit("none"))
+    label = F.when(F.col("rank").isNull(), "none").otherwise(F.get(F.lit(list(order)), F.col("rank").cast("int") - 1))
     return files.join(best, files["path"] == best["node"], "left").select("path", F.when(known, label).alias("reach"))
 
 
