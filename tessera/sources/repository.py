@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from tessera.functions.text import glob_pattern, line_count
@@ -54,12 +59,34 @@ def language(path: Column) -> Column:
 def scan(spark: SparkSession, root: str, module_depth: int = 1) -> DataFrame:
     """files(path, module, lang, loc, is_test, text) of a directory tree; paths are relative to root.
 
-    Bytes that are not UTF-8 are replaced.  The module is the path's first directories.
+    Bytes that are not UTF-8 are replaced.  The module is the path's first directories.  Spark's
+    reader passes over names that begin with `_` or `.`, such as __init__.py and .github: those are
+    listed through Hadoop and read by Arrow's file systems.  Only .git itself is left out.
     """
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    top = root.rstrip("/").removeprefix("file://")
-    path = F.regexp_replace("path", f"^(?:file:)?/*{top.lstrip('/')}/", "")
-    return described(raw.select(path.alias("path"), F.try_validate_utf8(F.col("content").cast("string")).alias("valid"), F.make_valid_utf8(F.col("content").cast("string")).alias("text")).drop("valid"), module_depth)
+    raw = raw.select(F.regexp_replace("path", "^file:/+", "/").alias("path"), "content")
+    at = spark._jvm.org.apache.hadoop.fs.Path(root)
+    store = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    top = store.makeQualified(at).toString()
+    listed, passed = store.listFiles(at, True), []
+    while listed.hasNext():
+        name = listed.next().getPath().toString()
+        below = name[len(top) :].strip("/").split("/")
+        if below[0] != ".git" and any(part[0] in "_." for part in below):
+            passed.append((name,))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name in batch.column(0).to_pylist():
+                files, path = pa.fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", name))
+                with files.open_input_stream(path) as f:
+                    yield pa.RecordBatch.from_pydict({"path": [re.sub("^file:/+", "/", name)], "content": [f.read()]}, schema=pa.schema([("path", pa.string()), ("content", pa.binary())]))
+
+    more = spark.createDataFrame(passed, "name string").mapInArrow(read, "path string, content binary")
+    prefix = re.sub("^file:/+", "/", top).rstrip("/") + "/"
+    text = F.make_valid_utf8(F.col("content").cast("string"))
+    files = raw.unionByName(more).select(F.expr(f"substring(path, {len(prefix) + 1})").alias("path"), text.alias("text"))
+    return described(files, module_depth)
 
 
 def described(files: DataFrame, module_depth: int = 1) -> DataFrame:
