@@ -11,7 +11,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tessera.session import materialize
+from tessera.llm.rows import packed, unpacked
+from tessera.session import broadcast_if, materialize
 
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -46,26 +47,35 @@ def hashed(docs: DataFrame, text_col: str = "text", prefix: int = 256, max_broad
     return marked.withColumn("_hash", F.when(F.col("_key").isNotNull(), full_hash(F.col(text_col)))).drop("_row_key", "_key")
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """docs, all columns, with keep_id, group_size, kept and `_hash`.
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_broadcast_groups: int = 500_000, **how) -> DataFrame:
+    """docs, all columns, with _keep_id, _group_size, _kept and _hash.
 
     Texts are equal when `normalised` makes them identical; null is equal to the empty text.
-    keep_id is the least non-null id of the equal texts (null if none has one), group_size counts
-    rows, and kept marks the rows with that id: rows that repeat it are one document and stay
-    together.  Only groups of two rows or more are joined back, and the join is on the hash, so
-    that adaptive execution can split a hot group.  An input column of one of the three names is
-    replaced.
+    _keep_id is the least non-null id of the equal texts (null if none has one), _group_size counts
+    rows, and _kept marks the rows with that id: rows that repeat it are one document and stay
+    together.  Groups of two rows or more (about 100 bytes each) are joined back to the rows, by
+    broadcast up to max_broadcast_groups of them.  Beyond that only rows that have a hash are
+    shuffled to them, by the hash, and adaptive execution splits hot groups.  Input columns of
+    these four names are replaced; an empty table gives an empty result.
     """
-    docs = docs.drop("keep_id", "group_size", "kept", "_hash")
     rows = hashed(docs, text_col, **how)
-    groups = rows.where("_hash IS NOT NULL").groupBy("_hash").agg(F.min(id_col).alias("_least"), F.count("*").alias("_size")).where("_size > 1")
-    groups = materialize(groups.withColumnRenamed("_hash", "_of"), "equal-texts")
-    joined = rows.join(groups, F.col("_hash") == F.col("_of"), "left")
-    keep = F.when(F.col("_of").isNull(), F.col(id_col)).otherwise(F.col("_least"))
-    out = joined.withColumn("keep_id", keep).withColumn("group_size", F.coalesce("_size", F.lit(1)))
-    return out.withColumn("kept", F.col(id_col).eqNullSafe(F.col("keep_id"))).drop("_of", "_least", "_size")
+    groups = rows.where("_hash IS NOT NULL").groupBy("_hash").agg(F.min(id_col).alias("_least"), F.count("*").alias("_n")).where("_n > 1")
+    groups = materialize(groups.select(F.col("_hash").alias("_of"), "_least", "_n"), "equal-texts")
+    held = broadcast_if(groups, max_broadcast_groups)
+
+    def told(some: DataFrame) -> DataFrame:
+        joined = some.join(held, F.col("_hash") == F.col("_of"), "left")
+        joined = joined.withColumn("_keep_id", F.when(F.col("_of").isNull(), F.col(id_col)).otherwise(F.col("_least")))
+        return joined.withColumn("_group_size", F.coalesce("_n", F.lit(1))).drop("_of", "_least", "_n")
+
+    if held is groups:
+        alone = rows.where("_hash IS NULL").withColumn("_keep_id", F.col(id_col)).withColumn("_group_size", F.lit(1).cast("long"))
+        out = alone.unionByName(told(rows.where("_hash IS NOT NULL")))
+    else:
+        out = told(rows)
+    return out.withColumn("_kept", F.col(id_col).eqNullSafe(F.col("_keep_id")))
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """The rows of docs, with their columns, that stay."""
-    return exact_groups(docs, id_col, text_col, **how).where("kept").select(*(f"`{c}`" for c in docs.columns))
+    return unpacked(exact_groups(packed(docs, id_col, text_col), id_col, text_col, **how).where("_kept"))

@@ -51,8 +51,8 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    docs = exact.exact_groups(docs)
-    return docs.select("doc_id", "keep_id", F.col("group_size").cast("long").alias("group_size"), "kept", F.coalesce("_hash", exact.full_hash(F.col("text"))).alias("text_sha256"))
+    docs = docs.withColumn("text_sha256", exact.full_hash(F.col("text")))  # here, so that no text goes on to a join
+    return exact.exact_groups(docs).select("doc_id", F.col("_keep_id").alias("keep_id"), F.col("_group_size").alias("group_size"), F.col("_kept").alias("kept"), "text_sha256")
 
 
 def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
