@@ -46,6 +46,8 @@ def _histogram(keyed: DataFrame, digits: int, of: Iterable[str] | None = None) -
 def splitters(keyed: DataFrame, shards: int, tolerance: float, group_tolerance: float) -> tuple[list[tuple[str, int, int]], list[str]]:
     """Cells (prefix, bytes, rows) in key order, and the first key of each shard but shard 0."""
     cells = sorted(_histogram(keyed, PROBES[0]))
+    if not cells:
+        return [], []
     total, rows = sum(c[1] for c in cells), sum(c[2] for c in cells)
     large = max(20_000, 8 * rows // 4096)
     for at, digits in enumerate(PROBES):
