@@ -13,6 +13,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 _LOCAL: dict[str, str] = {}
+_SET: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -56,8 +57,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def small_batches(spark: SparkSession, rows: int = 500, size: int = 16 << 20) -> None:
     """Bounds what one Arrow batch of texts takes in a Python worker, where the session has no bound of its own."""
     for key, value in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", size)):
-        if spark.conf.get(f"spark.sql.execution.arrow.{key}", None) in (None, "10000"):
-            spark.conf.set(f"spark.sql.execution.arrow.{key}", str(value))
+        name = f"spark.sql.execution.arrow.{key}"
+        if spark.conf.get(name, None) in (None, "10000", _SET.get(name)):
+            spark.conf.set(name, str(value))
+            _SET[name] = str(value)
 
 
 def broadcast_if(df: DataFrame, rows: int) -> DataFrame:
