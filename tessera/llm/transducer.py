@@ -47,28 +47,44 @@ def byte_alphabet() -> dict[str, int]:
 
 
 class State:
+    """ends: for each suffix that may still begin a token its place in the trie, the token before it, and the count before it less the count now; in one flat tuple."""
+
     __slots__ = ("ends", "next")
 
-    def __init__(self, ends: tuple):
+    def __init__(self, ends: tuple[int, ...]):
         self.ends, self.next = ends, {}
 
 
 class Bpe:
-    """The lazily built transducer over bytes."""
-
-    def __init__(self, tokens: dict[bytes, int], merges: dict[tuple[bytes, bytes], int], max_states: int = 120_000):
-        self.tokens, self.merges, self.max_states = tokens, merges, max_states
-        self.prefixes = {t[:i] for t in tokens for i in range(1, len(t) + 1)}
-        self.made = {a + b: (rank, (a, b)) for (a, b), rank in reversed(merges.items())}
+    """The lazily built transducer over bytes.  Tokens are numbered by their place in the trie of all tokens."""
+
+    def __init__(self, tokens: list[bytes], merges: dict[tuple[bytes, bytes], int], max_states: int = 200_000):
+        self.child: dict[int, int] = {}
+        self.is_token, self.max_states = bytearray(1), max_states
+        number = {t: self._place(t) for t in tokens}
+        for n in number.values():
+            self.is_token[n] = 1
+        self.merges = {(number[a], number[b]): rank for (a, b), rank in merges.items()}
+        self.made = {number[a + b]: (rank, (number[a], number[b])) for (a, b), rank in reversed(merges.items())}
         self.edges: tuple[dict, dict] = ({}, {})
-        self.fits: dict[tuple[bytes, bytes], bool] = {}
+        self.fits: dict[tuple[int, int], bool] = {}
         self._restart()
 
+    def _place(self, data: bytes) -> int:
+        at = 0
+        for byte in data:
+            key = at << 8 | byte
+            if key not in self.child:
+                self.child[key] = len(self.is_token)
+                self.is_token.append(0)
+            at = self.child[key]
+        return at
+
     def _restart(self) -> None:
-        self.start = State(((b"", None, 0),))
+        self.start = State((0, -1, 0))
         self.states = {self.start.ends: self.start}
 
-    def _edge(self, token: bytes, left: bool) -> list[tuple[bytes, int]]:
+    def _edge(self, token: int, left: bool) -> list[tuple[int, int]]:
         """The tokens that stand at one edge of a token while BPE builds it, each with the rank that ends it."""
         known = self.edges[left]
         if token not in known:
@@ -80,29 +96,47 @@ class Bpe:
                 known[token] = [*below[:-1], (below[-1][0], rank), (token, sys.maxsize)]
         return known[token]
 
-    def _adjacent(self, a: bytes, b: bytes) -> bool:
+    def _adjacent(self, a: int, b: int) -> bool:
         """Does no merge cross the border of a and b while both are built?
 
         A pair across it is merged if its rank comes before both of its parts are used up; at the
         same rank the pair further left goes first.
         """
-        if (a, b) not in self.fits:
-            if len(self.fits) > 4 * self.max_states:
-                self.fits.clear()
-            rank = lambda p, q: self.merges.get((p, q), sys.maxsize)
-            right = self._edge(b, True)
-            self.fits[a, b] = not any((r := rank(p, q)) < p_end and r <= q_end and r < sys.maxsize for p, p_end in self._edge(a, False) for q, q_end in right)
-        return self.fits[a, b]
+        if len(self.fits) > 4 * self.max_states:
+            self.fits.clear()
+        rank, right = self.merges.get, self._edge(b, True)
+        fits = True
+        for p, p_end in self._edge(a, False):
+            for q, q_end in right:
+                r = rank((p, q))
+                if r is not None and r < p_end and r <= q_end:
+                    fits = False
+        self.fits[a, b] = fits
+        return fits
 
     def _step(self, state: State, byte: int) -> tuple[State, int]:
         if len(self.states) >= self.max_states:
             self._restart()
-        last = bytes([byte])
-        grown = [(suffix + last, before, count) for suffix, before, count in state.ends]
-        token, count = next((s, n) for s, before, n in grown if s in self.tokens and (before is None or self._adjacent(before, s)))
-        delta = count + 1
-        ends = (*((s, before, n - delta) for s, before, n in grown if s in self.prefixes), (b"", token, 0))
-        state.next[byte] = found = (self.states.setdefault(ends, State(ends)), delta)
+        child, is_token, fits = self.child, self.is_token, self.fits
+        grown, token, delta = [], 0, 0
+        flat = iter(state.ends)
+        for place, before, count in zip(flat, flat, flat, strict=True):
+            now = child.get(place << 8 | byte)
+            if now is None:
+                continue
+            if not token and is_token[now]:
+                ok = before < 0 or fits.get((before, now))
+                if ok or ok is None and self._adjacent(before, now):
+                    token, delta = now, count + 1
+            grown.append((now, before, count))
+        ends = []
+        for now, before, count in grown:
+            ends += (now, before, count - delta)
+        key = (*ends, 0, token, 0)
+        following = self.states.get(key)
+        if following is None:
+            self.states[key] = following = State(key)
+        state.next[byte] = found = (following, delta)
         return found
 
     def count(self, data: bytes) -> int:
@@ -114,11 +148,18 @@ class Bpe:
 
 
 class Splitter:
-    """Cuts one segment (white space, then none) into pieces, one character class at a time."""
+    """Cuts one segment (white space, then none) into pieces, one character class at a time.
+
+    The classes are the library's own: it is asked about each character once.
+    """
 
     def __init__(self):
         self.classes: dict[str, str] = {}
         self.library = pre_tokenizers.ByteLevel(add_prefix_space=False).pre_tokenize_str
+        near = [chr(i) for i in range(0x250)]
+        letters, digits = ("".join(re.escape(c) for c in near if self.kind(c) == k) for k in "LN")
+        self.simple = re.compile("[\x00-&(-\u024f]+").fullmatch  # all but the apostrophe
+        self.runs = re.compile(f"[{letters}]+|[{digits}]+|[^{letters}{digits}]+").findall
 
     def kind(self, char: str) -> str:
         if char not in self.classes:
@@ -131,8 +172,11 @@ class Splitter:
             return [space]
         joined = space[-1:] == " "  # one plain space belongs to the word after it
         out = [s for s in (space[:-1], "" if joined else space[-1:]) if s]
-        if word.isascii() and word.isalpha():
-            return [*out, " " * joined + word]
+        if self.simple(word):
+            runs = self.runs(word)
+            if joined:
+                runs[0] = " " + runs[0]
+            return out + runs
         at, fresh = 0, not joined  # fresh: an apostrophe here may begin an ending
         while at < len(word):
             ending = next((e for e in ENDINGS if word.startswith(e, at + 1)), None) if fresh and word[at] == "'" else None
@@ -176,9 +220,9 @@ class Chunk:
 
 
 class Counter(dict):
-    """Counts tokens of texts; as a mapping, segment -> count, bounded by max_segments."""
+    """Counts tokens of texts.  As a mapping: segment -> count, of the last max_segments to twice as many."""
 
-    def __init__(self, spec: str, max_segments: int = 500_000):
+    def __init__(self, spec: str, max_segments: int = 400_000):
         made = json.loads(spec)
         alphabet, model = byte_alphabet(), made["model"]
         raw = lambda token: bytes(alphabet[c] for c in token)
@@ -189,22 +233,29 @@ class Counter(dict):
         merges = {(raw(a), raw(b)): i for i, (a, b) in enumerate(pairs)}
         self.special = [t["content"] for t in made["added_tokens"]]
         self.cut = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
-        tokens = {raw(t): i for t, i in model["vocab"].items() if t not in self.special}
+        tokens = [raw(t) for t in model["vocab"] if t not in self.special]
         self.bpe, self.splitter, self.max_segments = Bpe(tokens, merges), Splitter(), max_segments
+        self.older: dict[str, int] = {}
         self.known: dict[str, int] = {}
         self.parts = re.compile(f"([{SPACES}]*)([^{SPACES}]*)")
         self.find = re.compile(f"[{SPACES}]*[^{SPACES}]+|[{SPACES}]+").findall
         self.restart = re.compile(f"(?<=[^{SPACES}])(?=[{SPACES}])")
 
     def __missing__(self, segment: str) -> int:
-        space, word = self.parts.match(segment).groups()
-        count = sum(self.known.get(piece) or self._count(piece) for piece in self.splitter.pieces(space, word))
+        count = self.older.get(segment)
+        if count is None:
+            count = self._segment(segment)
         if len(segment) <= REMEMBERED:
             if len(self) >= self.max_segments:
+                self.older = dict(self)
                 self.clear()
             self[segment] = count
         return count
 
+    def _segment(self, segment: str) -> int:
+        space, word = self.parts.match(segment).groups()
+        return sum(self.known.get(piece) or self._count(piece) for piece in self.splitter.pieces(space, word))
+
     def _count(self, piece: str) -> int:
         count = self.bpe.count(piece.encode("utf-8", "replace"))
         if len(piece) <= REMEMBERED:
