@@ -81,7 +81,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_sentencepiece(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
-    small_batches(spark)
+    small_batches(spark, rows=2000)
     rows = table(spark, sf_dir, "documents").select("doc_id", pieces.encoded(F.col("text"), path or public_tokenizers.path("piece_bpe_32k.model")).alias("e"))
     return rows.select(
         "doc_id", F.size("e.ids").cast("long").alias("n_tokens"), F.sha2(F.concat_ws(",", F.col("e.ids").cast("array<string>")), 256).alias("ids_sha256"), F.sha2("e.decoded", 256).alias("decoded_sha256"),
