@@ -18,12 +18,15 @@ def tokens(text: Column, pattern: str = "[a-z0-9]+") -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(pattern), F.lit(0))
 
 
-def code_tokens(text: Column) -> Column:
-    """Tokens of source code with comments dropped and literal values replaced by their kind."""
+#: Tokens of source code that code_text has prepared.
+CODE_TOKENS = r"\w+|[^\w\s]"
+
+
+def code_text(text: Column) -> Column:
+    """Source code with comments dropped and literal values replaced by their kind."""
     plain = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?s)/\*.*?\*/|//[^\n]*|#[^\n]*", " ")
     plain = F.regexp_replace(plain, r"\"[^\"\n]*\"|'[^'\n]*'", " STR ")
-    plain = F.regexp_replace(plain, r"\b\d[\w.]*\b", " NUM ")
-    return F.regexp_extract_all(plain, F.lit(r"\w+|[^\w\s]"), F.lit(0))
+    return F.regexp_replace(plain, r"\b\d[\w.]*\b", " NUM ")
 
 
 def line_count(text: Column) -> Column:

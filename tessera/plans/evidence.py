@@ -118,7 +118,7 @@ p AS (SELECT x.source AS a, y.source AS b, count(*) AS shared FROM s x JOIN s y
 SELECT a, b, shared, round(shared / least(u.n, v.n), 6) AS share FROM p JOIN z u ON u.source = a JOIN z v ON v.source = b WHERE round(shared / least(u.n, v.n), 6) >= 0.01""")
 def parallel_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
-    sets = clones.fingerprint_rows(docs.select("source", "text"), "source", T.tokens(F.col("text")))
+    sets = clones.fingerprint_rows(docs.select("source", "text"), "source", F.lower("text"))
     return clones.parallel_groups(materialize(sets.select("source", "fp").distinct(), "source-fingerprints"), "source", 0.01)
 
 

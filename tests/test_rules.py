@@ -178,3 +178,12 @@ def test_globs(glob, path, hit):
 def test_lines(spark):
     rows = spark.createDataFrame([(None, 0), ("", 0), ("a", 1), ("a\n", 1), ("a\n\nb", 3), ("\n", 1)], "t string, n long")
     assert rows.where(T.line_count(F.col("t")) != F.col("n")).count() == 0
+
+
+def test_code_clones_ignore_comments_and_literals(spark):
+    one = "def f(a):\n    # add\n    total = a + 1\n    print('x', total)\n    return total * 2.5\n"
+    two = "def f(a):\n    total = a + 99  # other\n    print('yy', total)\n    return total * 7\n"
+    files = spark.createDataFrame([("a.py", one), ("b.py", two), ("c.py", one.replace("total", "sum"))], "path string, text string")
+    rows = clones.fingerprint_rows(files, "path", T.code_text(F.col("text")), T.CODE_TOKENS).cache()
+    pairs, member = clones.similar_pairs(rows, "path")
+    assert {r.path: r["class"] for r in member.collect()} == {"a.py": "a.py", "b.py": "a.py", "c.py": "c.py"} and pairs.isEmpty()
