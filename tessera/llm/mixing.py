@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tessera.llm.rows import packed, unpacked
 from tessera.session import materialize
 
 WORDS = r"[^\x20\x09-\x0D]+"
@@ -71,8 +72,7 @@ def mix_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return rows.withColumn("_copies", F.floor("_rate") + extra.cast("long")).drop("_rate")
 
 
-def mix(docs: DataFrame, **how) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
     """The mix itself: each row of docs as often as it is taken, with its columns."""
-    rows = mix_counts(docs, **how).where("_copies > 0")
-    rows = rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
-    return rows.select(*(f"`{c}`" for c in docs.columns))
+    rows = mix_counts(packed(docs, id_col, text_col, source_col), id_col, text_col, source_col, **how).where("_copies > 0")
+    return unpacked(rows.select("_row", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))))
