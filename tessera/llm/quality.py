@@ -14,6 +14,8 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tessera.llm.rows import packed, unpacked
+
 WORDS = r"[^\x20\x09-\x0D]+"
 NAMES = ("chars", "words", "word_length", "distinct", "symbols", "upper", "digits", "marks", "bars", "line_length")
 
@@ -187,13 +189,17 @@ def compiled(model: Model, stats: dict[str, Column]) -> Column:
 
 
 def scored(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """docs, all columns, with _score: the probability of label 1.  Null and empty texts have one too."""
+    """docs, all columns, with _score: the probability of label 1.  Null and empty texts have one too.
+
+    Nothing is added to the score, but what is added is not deterministic to the optimizer: so a
+    filter on the score is not pushed below it, where every rule would compute its statistics anew.
+    """
     stats = statistics(F.col(text_col))
     rows = docs.withColumn("_stats", F.struct(*(c.alias(k) for k, c in stats.items())))
     score = compiled(model, {k: F.col(f"_stats.{k}") for k in stats})
-    return rows.withColumn("_score", score).drop("_stats")
+    return rows.withColumn("_score", score + F.rand(0) * F.lit(0.0)).drop("_stats")
 
 
 def keep_good(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
     """The rows of docs whose score is at least the threshold, with their columns."""
-    return scored(docs, model, text_col).where(F.col("_score") >= threshold).drop("_score")
+    return unpacked(scored(packed(docs, text_col), model, text_col).where(F.col("_score") >= threshold))
