@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tessera.operators.components import connected_components
-from tessera.session import materialize
+from tessera.session import broadcast_if, materialize
 
 BUCKET_ROWS = 1 << 16
 SEED = 42
@@ -171,13 +171,15 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, distance: int = 3, most: int = BUCKET_ROWS) -> DataFrame:
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, distance: int = 3, most: int = BUCKET_ROWS, max_broadcast_rows: int = 1_000_000) -> DataFrame:
     """The rows of docs, all columns, whose id is the least of their component.
 
     Rows that repeat the surviving id within the component stay with it; rows without an id go
-    unless their whole component has none.
+    unless their whole component has none.  What goes is told by id and text hash (24 bytes a row),
+    by broadcast up to max_broadcast_rows of them, else by a shuffled join.
     """
     found = _components(docs, id_col, text_col, words, distance, most)
     gone = found.where(~F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias("_gone"), F.col("t").alias("_text")).distinct()
+    gone = broadcast_if(materialize(gone, "near-copies"), max_broadcast_rows)
     same = docs[id_col].eqNullSafe(gone["_gone"]) & (F.xxhash64(docs[text_col]) == gone["_text"])
     return docs.join(gone, same, "left_anti")
