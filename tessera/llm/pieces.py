@@ -27,7 +27,7 @@ NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 SHORT = 48
 NEVER = float("inf")
 NO_RANK = np.iinfo(np.int32).max
-AT_ONCE = 1 << 22
+AT_ONCE = 1 << 21
 TOGETHER = 1 << 13
 
 
@@ -62,8 +62,8 @@ class CharMap:
 def byte_offsets(text: str) -> np.ndarray:
     """The UTF-8 offset of every character, and of the end."""
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
-    out = np.zeros(len(codes) + 1, dtype=np.int64)
-    np.cumsum(1 + (codes > 0x7F) + (codes > 0x7FF) + (codes > 0xFFFF), out=out[1:])
+    out = np.zeros(len(codes) + 1, dtype=np.int32)
+    np.cumsum(1 + (codes > 0x7F) + (codes > 0x7FF) + (codes > 0xFFFF), out=out[1:], dtype=np.int32)
     return out
 
 
@@ -86,7 +86,7 @@ class Normalizer:
             out.append(new)
             starts += [at] * len(new)
             at += used
-        return "".join(out), np.array([*starts, len(data)], dtype=np.int64)
+        return "".join(out), np.array([*starts, len(data)], dtype=np.int32)
 
     def __call__(self, text: str) -> tuple[str, np.ndarray]:
         new, starts = self.mapped(text)
@@ -386,7 +386,7 @@ def encoded(text: Column, path: str) -> Column:
         codec = compiled(proto)
         rows = list(codec.encode_all(t.as_py() for t in texts))
         offsets = pa.array(np.concatenate(([0], np.cumsum([len(r[0]) for r in rows]))).astype(np.int32))
-        flat = [pa.array(np.concatenate([np.zeros(0, np.int32), *(r[k] for r in rows)]).astype(np.int32)) for k in range(3)]
+        flat = [pa.array(np.concatenate([np.zeros(0, np.int32), *(r[k] for r in rows)])) for k in range(3)]
         lists = [pa.ListArray.from_arrays(offsets, values) for values in flat]
         return pa.StructArray.from_arrays([*lists, pa.array([r[3] for r in rows], type=pa.string())], names=["ids", "begins", "ends", "decoded"])
 
