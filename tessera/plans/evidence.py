@@ -124,7 +124,13 @@ def parallel_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_with(FP, COPIED) + "SELECT doc_id, copied FROM copied ORDER BY copied DESC, doc_id LIMIT 20")
 def largest_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clones.copied_tokens(_fingerprints(spark, sf_dir), "doc_id").orderBy(F.col("copied").desc(), "doc_id").limit(20)
+    return clones.routed(clones.copied_tokens(_fingerprints(spark, sf_dir), "doc_id"), _documents(spark, sf_dir), "doc_id", "source", largest=20)[1]
+
+
+@query(_with(FP, COPIED) + "SELECT source, doc_id, copied FROM (SELECT source, doc_id, copied, row_number() OVER (PARTITION BY source ORDER BY copied DESC, doc_id) AS n FROM copied JOIN documents USING (doc_id)) WHERE n <= 3")
+def copies_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A top-three report for each source."""
+    return clones.routed(clones.copied_tokens(_fingerprints(spark, sf_dir), "doc_id"), _documents(spark, sf_dir), "doc_id", "source", per_module=3)[0]
 
 
 @query(r"""SELECT doc_id, length(text) AS chars, CASE WHEN coalesce(text, '') = '' THEN 0 ELSE length(text) - length(replace(text, chr(10), '')) + CASE WHEN ends_with(text, chr(10)) THEN 0 ELSE 1 END END AS lines,

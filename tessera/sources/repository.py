@@ -121,16 +121,61 @@ def history(spark: SparkSession, path: str) -> DataFrame:
 
 
 def imports(files: DataFrame) -> DataFrame:
-    """(src, raw, kind): what each file imports, as written."""
+    """(src, raw, kind): what each file imports, as written.
+
+    `from x import a, b` imports x, and x.a and x.b, which may be modules.
+    """
     text = F.coalesce("text", F.lit(""))
-    python = F.regexp_extract_all(text, F.lit(r"(?m)^\s*(?:from\s+([.\w]+)\s+import|import\s+([.\w]+))"), F.lit(0))
+    python = F.regexp_extract_all(text, F.lit(r"(?m)^[ \t]*(?:from[ \t]+[.\w]+[ \t]+import[ \t]+\(?[\w, \t]+|import[ \t]+[\w., \t]+)"), F.lit(0))
     script = F.regexp_extract_all(text, F.lit(r"(?:from\s+|import\s+|require\(\s*|import\(\s*)['\"]([^'\"]+)['\"]"), F.lit(1))
     include = F.regexp_extract_all(text, F.lit(r"(?m)^\s*#\s*include\s*[\"<]([^\">]+)[\">]"), F.lit(1))
-    raw = F.when(F.col("lang") == "python", F.transform(python, lambda s: F.regexp_replace(s, r"^\s*(?:from|import)\s+([.\w]+).*$", "$1")))
-    raw = raw.when(F.col("lang").isin("javascript", "typescript"), script).when(F.col("lang").isin("c", "cpp"), include)
+    base = lambda s: F.regexp_extract(s, r"^\s*from\s+([.\w]+)", 1)
+    names = lambda s: F.filter(F.transform(F.split(F.regexp_extract(s, r"import\s+\(?(.*)$", 1), ","), lambda n: F.regexp_extract(n, r"^\s*([.\w]+)", 1)), lambda n: n != "")
+    joined = lambda s: F.concat(F.array(base(s)), F.transform(names(s), lambda n: F.concat(base(s), F.when(base(s).endswith("."), "").otherwise("."), n)))
+    spelled = F.flatten(F.transform(python, lambda s: F.when(base(s) == "", names(s)).otherwise(joined(s))))
+    raw = F.when(F.col("lang") == "python", spelled).when(F.col("lang").isin("javascript", "typescript"), script).when(F.col("lang").isin("c", "cpp"), include)
     return files.select(F.col("path").alias("src"), F.explode(raw).alias("raw"), F.col("lang").alias("kind")).distinct()
 
 
+def _plain(path: Column) -> Column:
+    """A path without ./ and with up to eight levels of dir/../ taken out."""
+    path = F.regexp_replace(path, r"(?:^|(?<=/))(?:\./)+", "")
+    for _ in range(8):
+        path = F.regexp_replace(path, r"(?:^|(?<=/))(?!\.\./)[^/]+/\.\./", "")
+    return path
+
+
+def edges(raw: DataFrame, files: DataFrame, aliases: DataFrame) -> DataFrame:
+    """(src, dst, kind): imports that lead to files of the repository.
+
+    Python names are looked for from the root, from the importer's directory, and from any source
+    root `src`; scripts by relative path or alias, with the usual extensions; includes beside the
+    file, then anywhere by the path's end.  Of several candidates the first in that order is taken.
+    """
+    folder = F.regexp_extract("src", r"^(.*?)/?[^/]*$", 1)
+    within = lambda path: F.concat_ws("/", F.when(folder != "", folder), path)
+    rows = raw.join(resolve_aliases(raw.where(F.col("kind").isin("javascript", "typescript")), aliases), ["src", "raw"], "left")
+    dots = F.length(F.regexp_extract("raw", r"^(\.*)", 1))
+    name = F.replace(F.regexp_replace("raw", r"^\.+", ""), F.lit("."), F.lit("/"))
+    relative = F.rtrim(within(F.concat(F.repeat(F.lit("../"), F.greatest(dots - 1, F.lit(0))), name)), F.lit("/"))
+    module = F.when(dots > 0, F.array(relative)).otherwise(F.array(name, F.concat(F.lit("src/"), name), within(name)))
+    python = F.flatten(F.transform(module, lambda m: F.array(F.concat(m, F.lit(".py")), F.concat(m, F.lit("/__init__.py")))))
+    place = F.when(F.col("target").isNotNull(), F.col("target")).when(F.col("raw").startswith("."), within(F.col("raw")))
+    ends = ("", ".ts", ".tsx", ".js", ".jsx", ".mjs", ".vue", ".svelte", "/index.ts", "/index.tsx", "/index.js", "/index.jsx")
+    script = F.array(*(F.concat(place, F.lit(e)) for e in ends))
+    beside = F.array(within(F.col("raw")), F.col("raw"))
+    tries = F.when(F.col("kind") == "python", python).when(F.col("kind").isin("javascript", "typescript"), script).when(F.col("kind").isin("c", "cpp"), beside)
+    asked = rows.select("src", "raw", "kind", F.posexplode(tries).alias("n", "path")).where("path IS NOT NULL").withColumn("path", _plain(F.col("path")))
+    known = files.select("path")
+    met = asked.join(known, "path").groupBy("src", "raw", "kind").agg(F.min_by("path", "n").alias("dst"))
+    rest = raw.where(F.col("kind").isin("c", "cpp")).join(met, ["src", "raw", "kind"], "left_anti")
+    last = F.regexp_extract("path", r"([^/]*)$", 1)
+    named = rest.withColumn("_last", F.regexp_extract("raw", r"([^/]*)$", 1)).join(known.withColumn("_last", last), "_last")
+    named = named.where(F.col("path").endswith(F.concat(F.lit("/"), F.regexp_replace("raw", r"^(?:\.\.?/)+", ""))))
+    named = named.groupBy("src", "raw", "kind").agg(F.min_by("path", F.struct(F.length("path"), "path")).alias("dst"))
+    return met.unionByName(named).where("src <> dst").select("src", "dst", "kind").distinct()
+
+
 def resolve_aliases(raw: DataFrame, aliases: DataFrame) -> DataFrame:
     """(src, raw, target): imports with the alias of the nearest configuration above the file, the longest prefix first.
 

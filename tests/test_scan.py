@@ -158,3 +158,63 @@ def test_streams_give_what_batches_give(spark, tmp_path):
     query = evidence.hourly_habits(files, "ts").writeStream.format("memory").queryName("habits").outputMode("complete").trigger(availableNow=True).start()
     query.awaitTermination(120)
     assert spark.table("habits").count() == 1
+
+
+MORE = {
+    "pkg/__init__.py": "from .core import run\n",
+    "pkg/core.py": "from . import helper\nfrom pkg.sub import deep\nimport pkg.helper as h\n",
+    "pkg/helper.py": "",
+    "pkg/sub/__init__.py": "",
+    "pkg/sub/deep.py": "from ..helper import x\n",
+    "web/a.ts": "import x from './lib/b'\nimport y from '../shared/c'\nimport z from '@/d'\nimport r from 'react'\n",
+    "web/lib/b.tsx": "",
+    "shared/c/index.ts": "",
+    "web/app/d.js": "",
+    "src/x/one.cpp": '#include "one.h"\n#include "util/two.h"\n#include <vector>\n',
+    "src/x/one.h": "",
+    "include/util/two.h": "",
+}
+
+
+def test_imports_lead_to_files(spark):
+    files = S.described(spark.createDataFrame(list(MORE.items()), "path string, text string"))
+    aliases = spark.createDataFrame([("web", "@/", "web/app/")], "scope string, prefix string, target string")
+    found = {(r.src, r.dst) for r in S.edges(S.imports(files), files, aliases).collect()}
+    assert found == {
+        ("pkg/__init__.py", "pkg/core.py"), ("pkg/core.py", "pkg/__init__.py"), ("pkg/core.py", "pkg/helper.py"), ("pkg/core.py", "pkg/sub/__init__.py"), ("pkg/core.py", "pkg/sub/deep.py"), ("pkg/sub/deep.py", "pkg/helper.py"),
+        ("web/a.ts", "web/lib/b.tsx"), ("web/a.ts", "shared/c/index.ts"), ("web/a.ts", "web/app/d.js"), ("src/x/one.cpp", "src/x/one.h"), ("src/x/one.cpp", "include/util/two.h"),
+    }
+
+
+def judge(prompt, settings):
+    """Raises a finding for each TODO, and as an editor drops what it is shown."""
+    import re
+
+    if "Role: editor" in prompt:
+        return json.dumps({"findings": [], "decisions": [{"finding_id": i, "action": "drop", "reason": "a habit"} for i in re.findall(r"SLOP-[0-9a-f]{8}", prompt)]})
+    answer = pool.stand_in(prompt, settings)
+    return answer.replace('"severity": "low"', '"severity": "high"')
+
+
+def test_a_whole_scan_resumes_and_reports(spark, tmp_path):
+    from tessera.scan import Options, Scan
+
+    root, work = tmp_path / "repo", tmp_path / "work"
+    for name, text in TREE.items():
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_text(text)
+    log = tmp_path / "log"
+    log.write_text("".join(f"\x01c{i}\x022024-0{1 + i % 6}-02T03:04:05+00:00\n\napp/main.py\napp/util.py\n" for i in range(60)))
+    expected = tmp_path / "expected.json"
+    expected.write_text('[{"path": "app", "note": "todo"}, {"path": "web", "note": "none"}]')
+    scan = Scan(spark, Options(root=str(root), workdir=str(work), history_log=str(log)), judge)
+    scan.scan()
+    assert "# Maintainability: A" in (work / "report.md").read_text() and "a habit" in (work / "report.md").read_text()
+    found = {r.path: r.reach for r in scan.inventory()["reach"].collect()}
+    assert found["app/main.py"] == "launched" and found["app/util.py"] == "launched" and found["app/old.py"] == "none"
+    assert {(r.a, r.b, r.together) for r in scan.inventory()["co_change"].collect()} == {("app/main.py", "app/util.py", 60)}
+    assert {r.note: r.answer for r in scan.recall(str(expected)).collect()} == {"todo": "dismissed", "none": "never raised"}
+    assert {(r.tier, r.status) for r in scan.status().collect()} >= {("scout", "done"), ("editor", "done"), ("chief", "done")}
+    again = Scan(spark, Options(root=str(root), workdir=str(work)), judge)
+    assert again.run("scout").count() == again.plan("scout").count()
+    assert spark.read.parquet(f"{work}/tier-scout-1").count() == 0
