@@ -37,14 +37,15 @@ VOID = frozenset("hr".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Words of class, id and role that mark other things than the article.
 MARKS = frozenset(
-    "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion sidebar menu nav navbar navigation breadcrumb breadcrumbs footer comment comments disqus respond replies cookie cookies consent gdpr notice popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended widget pagination pager toolbar masthead copyright complementary contentinfo search".split()
+    "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion sidebar menu nav navbar navigation breadcrumb breadcrumbs footer comment comments disqus respond replies cookie cookies consent gdpr notice popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended widget pagination pager toolbar topbar masthead copyright complementary contentinfo search alert rail sidenav leftbar rightbar".split()
 )
+MARK_STARTS = ("advert", "banner", "breadcrumb", "comment", "cookie", "disqus", "footer", "newsletter", "pagination", "popup", "sidebar", "social", "sponsor")
 HEADS = frozenset("header banner masthead".split())
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[!?/][^>]*>|</?[a-zA-Z][^>]*>", re.S)
 ATTRIBUTE = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 WORD = re.compile(r"[^\W\d_]+")
-NAME = re.compile(r"[a-zA-Z]+")
+NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
 @dataclass(frozen=True)
@@ -76,9 +77,10 @@ class _Open:
 
 def _marked(attributes: str, article: int) -> bool:
     for found in ATTRIBUTE.findall(attributes):
-        names = NAME.findall("".join(found).lower())
+        names = [name.lower() for name in NAME.findall("".join(found))]
         for before, name in zip([""] + names, names, strict=False):
-            if name in MARKS and before not in ("with", "has", "no") and not (article and name in HEADS):
+            marked = name in MARKS or name.startswith(MARK_STARTS) or name == "header" and not article
+            if marked and before not in ("with", "has", "no") and not (article and name in HEADS):
                 return True
     return False
 
@@ -157,7 +159,7 @@ def first_pass(block: Block, rules: Rules) -> str:
     density = sum(w in STOP_WORDS for w in words) / max(1, len(words))
     if density >= rules.stop_high or block.article and density >= rules.stop_low:
         return "good"
-    if block.article or density >= rules.stop_low:
+    if block.article or density >= rules.stop_low or size >= rules.long and not block.linked:
         return "open"
     return "bad"
 
@@ -198,7 +200,10 @@ def second_pass(found: list[Block], labels: list[str]) -> list[bool]:
 def main_text(page: str | None, rules: Rules = Rules()) -> str:
     """The article's blocks joined by line feeds; empty for null, empty and text-free pages."""
     found = blocks(page or "")
-    kept = second_pass(found, [first_pass(b, rules) for b in found])
+    labels = [first_pass(b, rules) for b in found]
+    if "good" not in labels:  # perhaps a language without stop words here
+        labels = ["good" if label == "open" and len(b.text) >= rules.short else label for b, label in zip(found, labels, strict=True)]
+    kept = second_pass(found, labels)
     return "\n".join(b.text for b, keep in zip(found, kept, strict=True) if keep)
 
 

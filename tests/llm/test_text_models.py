@@ -16,6 +16,8 @@ WORDS = "This is a paragraph of the article that has the words which are in the
     (f"<article><p>a &amp; b &lt;c&gt; &eacute;<br>d\n\t e</p><script>var x = '<p>{WORDS}</p>';</script><style>p {{}}</style><!-- <p>{WORDS}</p> --><form><p>{WORDS}</p></form></article>", "a & b <c> é d e"),
     (f"<main><p>{WORDS}</p><section class=comments><p>{WORDS}</p></section><div class='ad'>{WORDS}</div></main>", WORDS),
     (f"<article><p>{WORDS}<p>THE!! | x*** y&amp;&amp;</p><p><a href=x>linked words only here</a></p></article>", f"{WORDS}\nTHE!! | x*** y&&"),
+    (f"<div class=siteHeader>{WORDS}</div><div id='mainColumn'><h2>Head</h2><p>{WORDS}</p></div><ul class='commentlist'><li>{WORDS}</li></ul><div class='leftSidebar'><p>{WORDS}</p></div>", f"Head\n{WORDS}"),
+    ("<div><p>" + "kielen sanat ovat toiset kuin muiden " * 8 + "</p></div><p><a href=x>linkki</a></p>", ("kielen sanat ovat toiset kuin muiden " * 8).strip()),
     (f"<article><p>{WORDS}</p><script>never closed <p>{WORDS}", WORDS),
     (f"<p title=\"a > b\">{WORDS}</p><p title='unclosed>{WORDS}</p>", WORDS),
 ])
