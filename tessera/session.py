@@ -7,13 +7,18 @@ session (tests) without that setting gets a temporary folder.
 
 from __future__ import annotations
 
+import atexit
+import os
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 _LOCAL: dict[str, str] = {}
 _SET: dict[str, str] = {}
+_SHIPPED: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -69,3 +74,19 @@ def broadcast_if(df: DataFrame, rows: int) -> DataFrame:
     df is counted, so it should be materialized; its rows should have a bounded size.
     """
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def ship_code(spark: SparkSession) -> None:
+    """Gives this package to Python workers that would not find it, once for each application.
+
+    The archive is only read by the driver, which hands it to the executors.
+    """
+    root = Path(__file__).resolve().parent.parent
+    known = [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)]
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED or any(p and Path(p).resolve() == root for p in known):
+        return
+    folder = os.path.realpath(tempfile.mkdtemp())
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    context.addPyFile(shutil.make_archive(os.path.join(folder, f"{__package__}-code"), "zip", root, __package__))
+    _SHIPPED.add(context.applicationId)
