@@ -18,7 +18,6 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 UNKNOWN = "und"
-LETTER = re.compile(r"[^\W\d_]")
 
 
 @dataclass(frozen=True)
@@ -36,20 +35,26 @@ def plain(text: str) -> bytes:
     return " ".join(re.findall(r"[^\W\d_]+", text.lower())).encode("utf-8", "replace")
 
 
-def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", rows_per_lang: int = 300, chars_per_row: int = 2000, dict_bytes: int = 96 * 1024) -> Profiles:
+def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", rows_per_lang: int = 300, chars_per_row: int = 2000, dict_bytes: int = 96 * 1024, spare: int = 8) -> Profiles:
     """Dictionaries from a bounded sample of labelled rows.
 
     Of each language the rows_per_lang rows with the least hash of their id and text are taken,
     chars_per_row characters of each; dict_bytes are kept.  So the driver gets a few hundred KB a
-    language however many rows there are.  Null languages and texts are left out.
+    language however many rows there are.  Hashes are first held against a rate that leaves about
+    `spare` times as many rows, so what is sorted for a language doesn't grow with it either.
+    Null languages and texts are left out.
     """
-    rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.substring(text_col, 1, chars_per_row).alias("text"), F.xxhash64(id_col, text_col).alias("h"))
+    spark, known = labelled.sparkSession, labelled.where(F.col(lang_col).isNotNull())
+    often = {r["lang"]: r["count"] for r in known.groupBy(F.col(lang_col).alias("lang")).count().collect()}
+    rates = spark.createDataFrame([(lang, min(1.0, spare * rows_per_lang / n)) for lang, n in often.items()], "lang string, rate double")
+    place = F.pmod(F.xxhash64(id_col, text_col), F.lit(1 << 53)).alias("h")
+    rows = known.where(F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.substring(text_col, 1, chars_per_row).alias("text"), place)
+    rows = rows.join(F.broadcast(rates), "lang").where(F.col("h") < F.col("rate") * F.lit(float(1 << 53)))
     first = Window.partitionBy("lang").orderBy("h", "text")
     sample = rows.withColumn("n", F.row_number().over(first)).where(F.col("n") <= rows_per_lang).select("lang", "n", "text").collect()
     by_lang: dict[str, list[bytes]] = {}
     for r in sorted(sample, key=lambda r: (r["lang"], r["n"])):
         by_lang.setdefault(r["lang"], []).append(plain(r["text"]))
-    often = {r["lang"]: r["count"] for r in labelled.groupBy(F.col(lang_col).alias("lang")).count().collect()}
     order = sorted(by_lang, key=lambda lang: (-often[lang], lang))
     return Profiles(tuple((lang, b" ".join(by_lang[lang])[:dict_bytes]) for lang in order))
 
@@ -68,7 +73,7 @@ class Measure:
 
     def predict(self, text: str | None) -> tuple[str, float, float]:
         """(language, score, margin): the margin in bytes between the best two languages."""
-        if not text or not LETTER.search(text) or not self.whole:
+        if not text or not any(map(str.isalpha, text)) or not self.whole:
             return UNKNOWN, 0.0, 0.0
         data = plain(text)
         chosen = self.whole if len(data) > self.profiles.short else self.fine
