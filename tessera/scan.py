@@ -143,7 +143,7 @@ class Scan:
     def raised(self) -> DataFrame:
         """Valid findings of the first four tiers, duplicates merged, each with an id of its own."""
         found = pool.findings_of(self.results(TIERS[:4])).drop("tier", "task_id", "id")
-        found = found.withColumn("id", P.finding_id("SLOP", "path", "category", "line_lo", "text"))
+        found = found.withColumn("id", P.finding_id("FINDING", "path", "category", "line_lo", "text"))
         return P.lower_bar(P.merge(P.valid(found)), self.files().select("path", "is_test", (F.col("lang") == "shell").alias("is_script")))
 
     def decisions(self, tiers: tuple[str, ...] = ("editor", "appeal")) -> DataFrame:

@@ -191,7 +191,7 @@ def judge(prompt, settings):
     import re
 
     if "Role: editor" in prompt:
-        return json.dumps({"findings": [], "decisions": [{"finding_id": i, "action": "drop", "reason": "a habit"} for i in re.findall(r"SLOP-[0-9a-f]{8}", prompt)]})
+        return json.dumps({"findings": [], "decisions": [{"finding_id": i, "action": "drop", "reason": "a habit"} for i in re.findall(r"FINDING-[0-9a-f]{8}", prompt)]})
     answer = pool.stand_in(prompt, settings)
     return answer.replace('"severity": "low"', '"severity": "high"')
 
