@@ -9,26 +9,31 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tessera.llm import exact, histogram, html, language, media, mixing, pieces, quality, simhash, transducer
-from tessera.session import small_batches, table
+from tessera.session import small_batches, spread, table
 
 
 def _remainder(doc_id: Column, of: int) -> Column:
     return F.crc32(doc_id.cast("string")) % of
 
 
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
-    rows = table(spark, sf_dir, "pages").select("page_id", "url", html.extracted(F.col("html")).alias("text"))
+    pages = spread(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    rows = pages.select("page_id", "url", html.extracted(F.col("html")).alias("text"))
     return rows.withColumn("n_chars", F.length("text").cast("long"))
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix_counts(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    mixed = mixing.mix_counts(spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text")))
     return mixed.select("doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), (F.col("_copies") * F.col("_size")).alias("taken"))
 
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = _texts(spark, sf_dir)
     docs = docs.withColumn("text_crc32", F.crc32(F.coalesce("text", F.lit(""))))
     rows = histogram.shard_by_bytes(docs, 8)
     return rows.select("doc_id", F.col("_size").alias("size"), "text_crc32", F.lit("bytes").alias("law"), F.col("_shard").alias("shard"), F.col("_slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
@@ -37,7 +42,7 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_token_counts(spark: SparkSession, sf_dir: str, path: str | None = None, limit: int = 512) -> DataFrame:
     small_batches(spark)
     count = transducer.token_counts(F.col("text"), path or public_tokenizers.path("byte_bpe_50k.json"))
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), count.alias("n_tokens"))
+    rows = _texts(spark, sf_dir).select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), count.alias("n_tokens"))
     return rows.withColumn("over_limit", F.col("n_tokens") > limit)
 
 
@@ -45,19 +50,19 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     docs, held = table(spark, sf_dir, "documents"), F.coalesce(_remainder(F.col("doc_id"), 4) == 2, F.lit(False))
     profiles = language.fit(docs.where(~held))
-    rows = docs.select("doc_id", held.alias("held_out"), language.identify(F.col("text"), profiles).alias("found"))
+    rows = _texts(spark, sf_dir).select("doc_id", held.alias("held_out"), language.identify(F.col("text"), profiles).alias("found"))
     return rows.select("doc_id", "held_out", F.col("found.best").alias("lang_pred"), F.col("found.score").alias("score"), F.col("found.lang").alias("lang_or_und"), F.col("found.margin").alias("margin"))
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = _texts(spark, sf_dir)
     docs = docs.withColumn("text_sha256", exact.full_hash(F.col("text")))  # here, so that no text goes on to a join
     return exact.exact_groups(docs).select("doc_id", F.col("_keep_id").alias("keep_id"), F.col("_group_size").alias("group_size"), F.col("_kept").alias("kept"), "text_sha256")
 
 
 def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), media.stored(F.col("text")).alias("media"))
+    rows = _texts(spark, sf_dir).select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), media.stored(F.col("text")).alias("media"))
     rows = rows.withColumn("read", media.opened(F.col("media")))
     clips = F.array_join(F.transform("read.clips", lambda c: F.concat_ws("-", c["first"], c["end"], F.round(c["level"], 3))), ",")
     feature = F.concat(F.lit("frames="), F.col("read.frames"), F.lit(";fps="), F.col("read.fps"), F.lit(";shots="), clips)
@@ -71,18 +76,18 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = quality.fit(docs, labels.where(_remainder(F.col("doc_id"), 5) != 0))
     held = F.coalesce(_remainder(F.col("doc_id"), 5) == 0, F.lit(False))
-    rows = quality.scored(docs.select("doc_id", "text"), model)
+    rows = quality.scored(_texts(spark, sf_dir), model)
     return rows.select("doc_id", held.alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= 0.3).cast("int").alias("predicted"))
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
-    return simhash.components(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return simhash.components(_texts(spark, sf_dir))
 
 
 def op10_sentencepiece(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
     small_batches(spark)
-    rows = table(spark, sf_dir, "documents").select("doc_id", pieces.encoded(F.col("text"), path or public_tokenizers.path("piece_bpe_32k.model")).alias("e"))
+    rows = _texts(spark, sf_dir).select("doc_id", pieces.encoded(F.col("text"), path or public_tokenizers.path("piece_bpe_32k.model")).alias("e"))
     return rows.select(
         "doc_id", F.size("e.ids").cast("long").alias("n_tokens"), F.sha2(F.concat_ws(",", F.col("e.ids").cast("array<string>")), 256).alias("ids_sha256"), F.sha2("e.decoded", 256).alias("decoded_sha256"),
         F.coalesce(F.try_element_at("e.ends", F.lit(-1)), F.lit(0)).alias("span_bytes"),
