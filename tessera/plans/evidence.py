@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tessera.functions import text as T
 from tessera.operators import clones, findings as P, graph, history, packing, rates, recall as R
 from tessera.plans import inline as I
-from tessera.session import materialize, table
+from tessera.session import materialize, spread, table
 from tessera.sources import repository, state
 
 QUERIES: dict = {}
@@ -55,12 +55,16 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of all documents, written once for queries that read them several times."""
-    return materialize(clones.winnow(_documents(spark, sf_dir)), "fingerprints")
+    return materialize(_winnowed(spark, sf_dir), "fingerprints")
+
+
+def _winnowed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clones.winnow(spread(_documents(spark, sf_dir).select("doc_id", "text")))
 
 
 @query(_with(FP) + "SELECT doc_id, fp, pos FROM fp")
 def winnow_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clones.winnow(_documents(spark, sf_dir)).select("doc_id", "fp", "pos")
+    return _winnowed(spark, sf_dir).select("doc_id", "fp", "pos")
 
 
 SETS = """sets AS (SELECT DISTINCT doc_id, fp FROM fp),
@@ -85,7 +89,7 @@ m AS (SELECT item_id, doc_id, count(*) AS shared FROM (SELECT DISTINCT doc_id, f
 SELECT item_id, doc_id, shared, round(shared / n, 6) AS share FROM m JOIN z USING (item_id) WHERE shared >= 0.5 * n""")
 def benchmark_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = clones.winnow(table(spark, sf_dir, "benchmark"), "item_id")
-    return clones.contained(clones.winnow(_documents(spark, sf_dir)), "doc_id", items, "item_id")
+    return clones.contained(_winnowed(spark, sf_dir), "doc_id", items, "item_id")
 
 
 def _copied_share(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,7 +113,7 @@ def copied_share_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_with(FP) + "SELECT fp, count(DISTINCT doc_id) AS copies FROM fp GROUP BY fp HAVING count(DISTINCT doc_id) >= 3")
 def rule_of_three(spark: SparkSession, sf_dir: str) -> DataFrame:
-    copies = clones.shared_fingerprints(clones.winnow(_documents(spark, sf_dir)), "doc_id", 2)
+    copies = clones.shared_fingerprints(_winnowed(spark, sf_dir), "doc_id", 2)
     return P.rule_of_three(copies, copies.limit(0))
 
 
@@ -118,7 +122,7 @@ p AS (SELECT x.source AS a, y.source AS b, count(*) AS shared FROM s x JOIN s y
 SELECT a, b, shared, round(shared / least(u.n, v.n), 6) AS share FROM p JOIN z u ON u.source = a JOIN z v ON v.source = b WHERE round(shared / least(u.n, v.n), 6) >= 0.01""")
 def parallel_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
-    sets = clones.fingerprint_rows(docs.select("source", "text"), "source", F.lower("text"))
+    sets = clones.fingerprint_rows(spread(docs.select("source", "text")), "source", F.lower("text"))
     return clones.parallel_groups(materialize(sets.select("source", "fp").distinct(), "source-fingerprints"), "source", 0.01)
 
 
@@ -147,7 +151,7 @@ s AS (SELECT source, sum(words)::BIGINT AS size, {", ".join(f"sum({k})::BIGINT A
 
 
 def _habits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _documents(spark, sf_dir).withColumn("words", T.matches(F.col("text"), r"[^\x20\x09-\x0D]+"))
+    docs = spread(_documents(spark, sf_dir).select("source", "text")).withColumn("words", T.matches(F.col("text"), r"[^\x20\x09-\x0D]+"))
     return rates.counted(docs, HABITS).select("source", "words", *HABITS)
 
 

@@ -92,3 +92,12 @@ def ship_code(spark: SparkSession) -> None:
     atexit.register(shutil.rmtree, folder, ignore_errors=True)
     context.addPyFile(shutil.make_archive(os.path.join(folder, f"{__package__}-code"), "zip", root, __package__))
     _SHIPPED.add(context.applicationId)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df, dealt out to all cores if it comes in fewer parts than there are: a small file is one part, however long its rows take.
+
+    Call it on the columns that are needed.  Inputs of many parts are left where they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(2 * cores) if df.rdd.getNumPartitions() < cores else df
