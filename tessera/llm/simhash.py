@@ -1,12 +1,15 @@
 """SimHash near-duplicates: 64-bit fingerprints, linked where they differ in few bits.
 
-Close pairs are found by pigeonhole.  With `blocks` = 6 parts and at most 3 differing bits, at
-least 3 parts are equal, so every close pair shares one of the C(6,3) = 20 keys made of 3 parts
-(32 bits or so).  Keys are aggregated natively: a key with two fingerprints is verified at once
-from its minimum and maximum, only keys with more are gathered, as arrays of at most
-`BUCKET_ROWS` distinct fingerprints.  A key with more than that is split again by 3 of 6 parts of
-the remaining bits, which leaves 16 bits free and so at most 65,536 fingerprints: every array has
-a bound that does not depend on the data, and no link is lost.  Equal texts, and all texts with
+Close pairs are found by pigeonhole.  With `blocks` parts and at most 3 differing bits, at least
+`blocks` - 3 parts are equal, so every close pair shares one of the keys made of that many parts:
+4 keys of 16 bits with 4 parts, 10 of about 25 with 5, 20 of 32 with 6, 35 of about 36 with 7.  The
+fewest parts are taken whose keys are four times as many as the fingerprints, so chance hardly
+brings any two together at any size.  Keys are aggregated natively: a key with two fingerprints is
+verified at once from its minimum and maximum, only keys with more are gathered, as arrays of at
+most `BUCKET_ROWS` distinct fingerprints.  A key with more than that is split again by parts of the
+remaining bits, so many that at most 16 bits stay free and so at most 65,536 fingerprints: every
+array has a bound that does not depend on the data, and no link is lost whatever is chosen.
+Equal texts, and all texts with
 equal fingerprints, are one row before any of this, however many copies there are.
 """
 
@@ -76,6 +79,14 @@ def block_masks(blocks: int, distance: int, bits: list[int] | None = None) -> li
     return [_mask(sum(some, [])) for some in combinations(parts, blocks - distance)]
 
 
+def fewest_blocks(fingerprints: int, distance: int) -> int:
+    """The fewest parts whose keys have at least two bits more than it takes to number the fingerprints."""
+    blocks = distance + 1
+    while blocks < 16 and 64 * (blocks - distance) // blocks < fingerprints.bit_length() + 2:
+        blocks += 1
+    return blocks
+
+
 def forest(fps: np.ndarray, distance: int) -> list[tuple[int, int]]:
     """Links that connect whatever is connected within `distance` among distinct fingerprints.
 
@@ -129,8 +140,9 @@ def _keyed(fps: DataFrame, masks: list[int], key: str, *rest: str) -> DataFrame:
     return fps.select(*rest, "fp", F.explode(keys).alias("x")).select(*rest, F.col("x.t").alias(f"{key}_t"), F.col("x.k").alias(f"{key}_k"), "fp")
 
 
-def close_links(fps: DataFrame, distance: int = 3, blocks: int = 6, most: int = BUCKET_ROWS) -> DataFrame:
-    """(a, b) links that join every connected group of the distinct long column `fp`."""
+def close_links(fps: DataFrame, distance: int = 3, blocks: int | None = None, most: int = BUCKET_ROWS) -> DataFrame:
+    """(a, b) links that join every connected group of the distinct long column `fp`; blocks are counted out if not given."""
+    blocks = blocks or fewest_blocks(fps.count(), distance)
     masks = block_masks(blocks, distance)
     keyed = _keyed(fps, masks, "x")
     links, crowded = _links(keyed, ["x_t", "x_k"], distance, most)
@@ -140,7 +152,8 @@ def close_links(fps: DataFrame, distance: int = 3, blocks: int = 6, most: int =
     again = keyed.join(crowded, ["x_t", "x_k"])
     for i, mask in enumerate(masks):
         free = [b for b in range(64) if not (mask >> b) & 1]
-        finer = _keyed(again.where(F.col("x_t") == i), block_masks(blocks, distance, free), "y", "x_t", "x_k")
+        parts = max(distance + 1, -(-distance * len(free) // 16))
+        finer = _keyed(again.where(F.col("x_t") == i), block_masks(parts, distance, free), "y", "x_t", "x_k")
         links = links.unionByName(_links(finer, ["x_t", "x_k", "y_t", "y_k"], distance, None)[0])
     return links
 

@@ -101,14 +101,14 @@ def chains(seed):
     return list(dict.fromkeys(out))
 
 
-@pytest.mark.parametrize("most", [simhash.BUCKET_ROWS, 3])
-def test_links_connect_what_all_pairs_connect(spark, most):
+@pytest.mark.parametrize("blocks, most", [(None, simhash.BUCKET_ROWS), (None, 3), (5, simhash.BUCKET_ROWS), (6, 3), (7, simhash.BUCKET_ROWS)])
+def test_links_connect_what_all_pairs_connect(spark, blocks, most):
     """most=3 sends nearly every bucket through the second split."""
     fps = chains(most)
     from tessera.operators.components import connected_components
 
     signed = [f - (1 << 64) if f >> 63 else f for f in fps]
-    links = simhash.close_links(spark.createDataFrame([(s,) for s in signed], "fp long"), most=most)
+    links = simhash.close_links(spark.createDataFrame([(s,) for s in signed], "fp long"), blocks=blocks, most=most)
     for r in links.collect():
         assert ((r.a ^ r.b) & (1 << 64) - 1).bit_count() <= 3
     found = {r.node: r.component for r in connected_components(links, "a", "b").collect()}
@@ -116,6 +116,16 @@ def test_links_connect_what_all_pairs_connect(spark, most):
     assert [found.get(s, s) for s in signed] == want
 
 
+def test_blocks_grow_with_the_fingerprints():
+    assert [simhash.fewest_blocks(n, 3) for n in (0, 1 << 13, 1 << 22, 1 << 29, 1 << 36)] == [4, 4, 5, 6, 8]
+    for blocks in range(4, 9):
+        masks = simhash.block_masks(blocks, 3)
+        random.seed(blocks)
+        for _ in range(200):
+            flip = sum(1 << b for b in random.sample(range(64), 3))
+            assert any(flip & m % (1 << 64) == 0 for m in masks)
+
+
 def test_near_dedup_keeps_one_of_each_group(spark, nothing):
     base = "one two three four five six seven eight nine ten " * 30
     rows = [(5, base, "en", "a", 1), (3, base + "extra", "en", "a", 1), (9, "something else entirely " * 20, "en", "b", 1), (9, base, "en", "b", 2), (4, None, None, None, None), (7, "", None, None, None)]
