@@ -271,7 +271,7 @@ def shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 GRADE_SQL = """, f AS (SELECT source, sum(CASE WHEN quality = 0 AND toxic = 1 THEN 10.0 WHEN quality = 0 THEN 3.0 ELSE 1.0 END) AS weighted, count(*) FILTER (quality = 0 AND toxic = 1) AS critical, count(*) FILTER (quality = 0 AND toxic = 0) AS high FROM labels JOIN documents USING (doc_id) WHERE quality = 0 OR toxic = 1 GROUP BY source),
-g AS (SELECT s.source, coalesce(weighted, 0) AS weighted, tokens AS loc, coalesce(critical, 0) AS critical, coalesce(high, 0) AS high, copied_share, round(coalesce(coalesce(weighted, 0) * 1000 / nullif(tokens, 0), 0), 6) AS idx FROM share s LEFT JOIN f USING (source))"""
+g AS (SELECT s.source, coalesce(weighted, 0)::DOUBLE AS weighted, tokens AS loc, coalesce(critical, 0) AS critical, coalesce(high, 0) AS high, copied_share, round(coalesce(coalesce(weighted, 0) * 1000 / nullif(tokens, 0), 0), 6) AS idx FROM share s LEFT JOIN f USING (source))"""
 RANKS = """SELECT *, greatest(i, s, c) AS worst FROM (SELECT *, CASE WHEN idx < 1 THEN 0 WHEN idx < 2 THEN 1 WHEN idx < 4 THEN 2 WHEN idx < 8 THEN 3 ELSE 4 END AS i, greatest(CASE WHEN critical >= 1 THEN 2 ELSE 0 END, CASE WHEN high >= 10 THEN 2 WHEN high >= 5 THEN 1 ELSE 0 END) AS s,
 CASE WHEN copied_share >= 0.20 THEN 3 WHEN copied_share >= 0.10 THEN 2 WHEN copied_share >= 0.05 THEN 1 ELSE 0 END AS c FROM {})"""
 GRADED = "SELECT {}, weighted, loc, critical, high, copied_share, idx, ['A', 'B', 'C', 'D', 'F'][worst + 1] AS grade, CASE WHEN i = worst THEN 'index' WHEN s = worst THEN 'serious' ELSE 'copied' END AS gate FROM ({})"

@@ -187,3 +187,15 @@ def test_code_clones_ignore_comments_and_literals(spark):
     rows = clones.fingerprint_rows(files, "path", T.code_text(F.col("text")), T.CODE_TOKENS).cache()
     pairs, member = clones.similar_pairs(rows, "path")
     assert {r.path: r["class"] for r in member.collect()} == {"a.py": "a.py", "b.py": "a.py", "c.py": "c.py"} and pairs.isEmpty()
+
+
+def test_grade_is_never_better_than_a_gate(spark):
+    random.seed(9)
+    rows = [(str(i), random.choice([0.0, 1.0, 5.0, 40.0]) * random.random(), random.choice([0, 10, 1000, 90000]), random.choice([0, 0, 1, 3]), random.randrange(14), random.choice([0.0, 0.049, 0.05, 0.11, 0.3])) for i in range(300)]
+    frame = spark.createDataFrame(rows, "name string, weighted double, loc long, critical long, high long, copied_share double")
+    for r in P.graded(frame).collect():
+        index = next((g for below, g in P.BANDS if r.idx < below), "F")
+        serious = "C" if r.critical or r.high >= 10 else "B" if r.high >= 5 else "A"
+        copied = "D" if r.copied_share >= 0.2 else "C" if r.copied_share >= 0.1 else "B" if r.copied_share >= 0.05 else "A"
+        gates = {"index": index, "serious": serious, "copied": copied}
+        assert r.grade == max(gates.values()) and gates[r.gate] == r.grade
