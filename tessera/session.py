@@ -97,7 +97,8 @@ def ship_code(spark: SparkSession) -> None:
 def spread(df: DataFrame) -> DataFrame:
     """df, dealt out to all cores if it comes in fewer parts than there are: a small file is one part, however long its rows take.
 
-    Call it on the columns that are needed.  Inputs of many parts are left where they are.
+    Call it on a scan of the columns that are needed: counting the parts of other plans may run them.
+    Inputs of many parts are left where they are.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(2 * cores) if df.rdd.getNumPartitions() < cores else df
