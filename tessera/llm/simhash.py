@@ -15,6 +15,8 @@ equal fingerprints, are one row before any of this, however many copies there ar
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
@@ -27,6 +29,8 @@ from tessera.session import broadcast_if, materialize
 
 BUCKET_ROWS = 1 << 16
 SEED = 42
+AT_ONCE = 1 << 20
+WHITE = re.compile(rb"[\x20\x09-\x0D]")
 
 
 def fingerprint_of(text: str | None, words: int = 3) -> int:
@@ -35,22 +39,34 @@ def fingerprint_of(text: str | None, words: int = 3) -> int:
     Words are runs without ASCII white space, A-Z lower-cased; shingles of `words` words keep
     their repeats; a text with fewer words is one shingle.
     """
-    found = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not found:
-        return 0
     digest, join = xxhash.xxh64_intdigest, b" ".join
-    if len(found) <= words:
-        hashes = [digest(join(found), SEED)]
-    else:
-        hashes = [digest(join(s), SEED) for s in zip(*(found[i:] for i in range(words)), strict=False)]
-    n = len(hashes)
-    bits = np.unpackbits(np.array(hashes, dtype=">u8").view(np.uint8)).view(np.uint64).reshape(n, 8)
-    ones = np.zeros(64, dtype=np.int64)
-    for i in range(0, n, 255):  # byte-wise counters in 64-bit words; 255 rows cannot overflow one
-        ones += bits[i : i + 255].sum(axis=0, dtype=np.uint64).view(np.uint8)
+    ones, n, held = np.zeros(64, dtype=np.int64), 0, []
+    for part in _parts_of((text or "").encode("utf-8", "surrogatepass").lower()):
+        held += part
+        if len(held) < words:
+            continue
+        hashes = [digest(join(s), SEED) for s in zip(*(held[i:] for i in range(words)), strict=False)]
+        held = held[len(held) - words + 1 :]
+        bits = np.unpackbits(np.array(hashes, dtype=">u8").view(np.uint8)).view(np.uint64).reshape(len(hashes), 8)
+        n += len(hashes)
+        for i in range(0, len(hashes), 255):  # byte-wise counters in 64-bit words; 255 rows cannot overflow one
+            ones += bits[i : i + 255].sum(axis=0, dtype=np.uint64).view(np.uint8)
+    if not n:
+        return digest(join(held), SEED) if held else 0
     return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
 
 
+def _parts_of(data: bytes, size: int | None = None) -> Iterator[list[bytes]]:
+    """The words of a text, some of it at a time, so that a very long one takes no more memory than its bytes."""
+    size = size or AT_ONCE
+    at = 0
+    while at < len(data):
+        space = WHITE.search(data, at + size)
+        end = space.start() if space else len(data)
+        yield data[at:end].split()
+        at = end
+
+
 def fingerprints(text: Column, words: int = 3) -> Column:
     """The fingerprint of each whole text as a signed long."""
 

@@ -78,6 +78,15 @@ def test_fingerprints_follow_the_definition(odd):
     assert simhash.fingerprint_of(text) == by_definition(text)
 
 
+@pytest.mark.parametrize("size", [1, 2, 7, 100])
+def test_fingerprints_do_not_depend_on_how_much_is_taken_at_once(monkeypatch, size):
+    monkeypatch.setattr(simhash, "AT_ONCE", size)
+    random.seed(size)
+    for n in (0, 1, 2, 3, 4, 50, 700):
+        text = "".join(f"{random.choice('ABcd')}{random.randrange(9)}{random.choice([' ', '  ', chr(10), chr(160)])}" for _ in range(n))
+        assert simhash.fingerprint_of(text) == by_definition(text)
+
+
 def test_components_of_odd_rows(odd, nothing):
     rows = odd.select("doc_id", "text").collect()
     fps = [simhash.fingerprint_of(r.text) for r in rows]
