@@ -10,9 +10,7 @@ quantiser tables, sampling factors, restart intervals), bit by bit.
 
 from __future__ import annotations
 
-import hashlib
 import struct
-import zlib
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -24,6 +22,7 @@ WIDE, HIGH = 64, 16  # blocks in a frame
 FRAME = WIDE * HIGH
 FPS = 25
 UNIT = 64
+TOGETHER = 256  # frames in one array
 
 
 @lru_cache(1)
@@ -65,22 +64,25 @@ def padded(data: bytes) -> bytes:
     return data + b"\0" * (max(UNIT, -(-len(data) // UNIT) * UNIT) - len(data))
 
 
-def write_avi(payload: bytes) -> bytes:
-    """An AVI file whose frames hold the payload's bytes as samples, the last one filled with zeros.
-
-    The payload's length is in the INFO list.
-    """
+def _frames(payload: bytes) -> list[bytes]:
     head, codes, _ = _tables()
-    count = -(-len(payload) // FRAME)
+    count, size = -(-len(payload) // FRAME), FRAME * 10 // 8
     samples = np.zeros(count * FRAME, dtype=np.int16)
     samples[: len(payload)] = np.frombuffer(payload, dtype=np.uint8)
-    samples = samples.reshape(count, FRAME) - 128
-    steps = np.diff(samples, axis=1, prepend=np.int16(0))
+    steps = np.diff(samples.reshape(count, FRAME) - 128, axis=1, prepend=np.int16(0))
     four = codes[steps + 255].reshape(-1, 4)
     packed = four[:, 0] << np.uint64(30) | four[:, 1] << np.uint64(20) | four[:, 2] << np.uint64(10) | four[:, 3]
     data = packed.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 3:].tobytes()
-    size = FRAME * 10 // 8
-    frames = [_chunk(b"00dc", head + data[i : i + size].replace(b"\xff", b"\xff\0") + b"\xff\xd9") for i in range(0, len(data), size)]
+    return [_chunk(b"00dc", head + data[i : i + size].replace(b"\xff", b"\xff\0") + b"\xff\xd9") for i in range(0, len(data), size)]
+
+
+def write_avi(payload: bytes) -> bytes:
+    """An AVI file whose frames hold the payload's bytes as samples, the last one filled with zeros.
+
+    The payload's length is in the INFO list.
+    """
+    count = -(-len(payload) // FRAME)
+    frames = [f for at in range(0, len(payload), TOGETHER * FRAME) for f in _frames(payload[at : at + TOGETHER * FRAME])]
     main = struct.pack("<14I", 1_000_000 // FPS, 0, 0, 0x10, count, 0, 1, 0, WIDE * 8, HIGH * 8, 0, 0, 0, 0)
     stream = struct.pack("<4s4sI2H8I4H", b"vids", b"MJPG", 0, 0, 0, 0, 1, FPS, 0, count, 0, 0xFFFFFFFF, 0, 0, 0, WIDE * 8, HIGH * 8)
     shape = struct.pack("<3I2H4s5I", 40, WIDE * 8, HIGH * 8, 1, 24, b"MJPG", WIDE * HIGH * 192, 0, 0, 0, 0)
@@ -259,26 +261,32 @@ def decode_frame(frame: bytes) -> np.ndarray:
 
 def block_samples(frames: list[bytes]) -> list[np.ndarray]:
     """For each frame the mean of every 8x8 block, in row order: the stored samples of frames that write_avi made."""
+    head = _tables()[0]
+    out = []
+    for at in range(0, len(frames), TOGETHER):
+        some = frames[at : at + TOGETHER]
+        if all(f.startswith(head) for f in some):
+            out += _own_samples(some)
+        else:
+            out += [_block_means(decode_frame(f)) for f in some]
+    return out
+
+
+def _own_samples(frames: list[bytes]) -> list[np.ndarray]:
     head, _, back = _tables()
-    size, out = FRAME * 10 // 8, [None] * len(frames)
-    own = [i for i, f in enumerate(frames) if f.startswith(head)]
-    raw = b"".join(frames[i][len(head) : frames[i].rindex(b"\xff\xd9")].replace(b"\xff\0", b"\xff") for i in own)
-    if len(raw) != len(own) * size:
+    raw = b"".join(f[len(head) : f.rindex(b"\xff\xd9")].replace(b"\xff\0", b"\xff") for f in frames)
+    if len(raw) != len(frames) * FRAME * 10 // 8:
         raise ValueError("a frame is cut short")
-    five = np.frombuffer(raw, dtype=np.uint8).reshape(-1, 5)
-    wide = np.zeros((len(five), 8), dtype=np.uint8)
-    wide[:, 3:] = five
+    wide = np.zeros((len(raw) // 5, 8), dtype=np.uint8)
+    wide[:, 3:] = np.frombuffer(raw, dtype=np.uint8).reshape(-1, 5)
     packed = wide.view(">u8").astype(np.uint64).ravel()
     codes = np.stack([packed >> np.uint64(s) & np.uint64(1023) for s in (30, 20, 10, 0)], axis=1)
-    samples = (np.cumsum(back[codes].reshape(-1, FRAME), axis=1) + 128).astype(np.uint8)
-    for i, row in zip(own, samples, strict=True):
-        out[i] = row
-    for i, f in enumerate(frames):
-        if out[i] is None:
-            plane = decode_frame(f)
-            plane = plane[: len(plane) // 8 * 8, : plane.shape[1] // 8 * 8]
-            out[i] = plane.reshape(len(plane) // 8, 8, -1, 8).mean(axis=(1, 3)).round().astype(np.uint8).ravel()
-    return out
+    return list((np.cumsum(back[codes].reshape(-1, FRAME), axis=1) + 128).astype(np.uint8))
+
+
+def _block_means(plane: np.ndarray) -> np.ndarray:
+    plane = plane[: len(plane) // 8 * 8, : plane.shape[1] // 8 * 8]
+    return plane.reshape(len(plane) // 8, 8, -1, 8).mean(axis=(1, 3)).round().astype(np.uint8).ravel()
 
 
 def shots(frames: list[np.ndarray], window: int = 12, deviations: float = 3.0, least: float = 0.25) -> list[tuple[int, int]]:
@@ -352,7 +360,3 @@ def clip_rows(docs: DataFrame, media_col: str = "media", **how) -> DataFrame:
     rows = docs.select(*(F.col(f"`{c}`") for c in kept), opened(F.col(media_col), **how).alias("_read"))
     rows = rows.select(*(F.col(f"`{c}`") for c in kept), F.posexplode("_read.clips").alias("clip", "_clip"))
     return rows.select(*(F.col(f"`{c}`") for c in kept), "clip", "_clip.*")
-
-
-def digests(payload: bytes) -> tuple[str, int]:
-    return hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:])

@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 from tessera.llm import media
 
 
-@pytest.mark.parametrize("data", [b"", b"a", b"\xff" * 3000, bytes(range(256)) * 20, os.urandom(64), os.urandom(media.FRAME), os.urandom(media.FRAME + 1)])
-def test_bytes_come_back(data):
+@pytest.mark.parametrize("data", [b"", b"a", b"\xff" * 3000, bytes(range(256)) * 20, os.urandom(64), os.urandom(media.FRAME), os.urandom(media.FRAME + 1), os.urandom(9 * media.FRAME + 7)])
+@pytest.mark.parametrize("together", [256, 2])
+def test_bytes_come_back(data, together, monkeypatch):
+    monkeypatch.setattr(media, "TOGETHER", together)
     payload = media.padded(data)
     assert len(payload) % 64 == 0 and len(payload) >= 64 and payload.startswith(data)
     avi = media.read_avi(media.write_avi(payload))
