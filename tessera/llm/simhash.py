@@ -151,27 +151,27 @@ def _links(keyed: DataFrame, key: list[str], distance: int, most: int | None) ->
     return pairs.unionByName(found), (sizes.where(f"n > {most}") if most else sizes.limit(0)).select(*key)
 
 
-def _keyed(fps: DataFrame, masks: list[int], key: str, *rest: str) -> DataFrame:
+def _keyed(fps: DataFrame, masks: list[int]) -> DataFrame:
     keys = F.array(*(F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("k")) for i, m in enumerate(masks)))
-    return fps.select(*rest, "fp", F.explode(keys).alias("x")).select(*rest, F.col("x.t").alias(f"{key}_t"), F.col("x.k").alias(f"{key}_k"), "fp")
+    return fps.select("fp", F.explode(keys).alias("x")).select(F.col("x.t").alias("x_t"), F.col("x.k").alias("x_k"), "fp")
 
 
 def close_links(fps: DataFrame, distance: int = 3, blocks: int | None = None, most: int = BUCKET_ROWS) -> DataFrame:
     """(a, b) links that join every connected group of the distinct long column `fp`; blocks are counted out if not given."""
     blocks = blocks or fewest_blocks(fps.count(), distance)
     masks = block_masks(blocks, distance)
-    keyed = _keyed(fps, masks, "x")
+    keyed = _keyed(fps, masks)
     links, crowded = _links(keyed, ["x_t", "x_k"], distance, most)
     crowded = materialize(crowded, "crowded")
     if crowded.isEmpty():
         return links
-    again = keyed.join(crowded, ["x_t", "x_k"])
-    for i, mask in enumerate(masks):
+    finer = []
+    for mask in masks:
         free = [b for b in range(64) if not (mask >> b) & 1]
-        parts = max(distance + 1, -(-distance * len(free) // 16))
-        finer = _keyed(again.where(F.col("x_t") == i), block_masks(parts, distance, free), "y", "x_t", "x_k")
-        links = links.unionByName(_links(finer, ["x_t", "x_k", "y_t", "y_k"], distance, None)[0])
-    return links
+        finer.append(F.array(*map(F.lit, block_masks(max(distance + 1, -(-distance * len(free) // 16)), distance, free))).cast("array<long>"))
+    again = keyed.join(crowded, ["x_t", "x_k"]).select("x_t", "x_k", "fp", F.posexplode(F.get(F.array(*finer), F.col("x_t"))).alias("y_t", "mask"))
+    again = again.select("x_t", "x_k", "y_t", F.col("fp").bitwiseAND(F.col("mask")).alias("y_k"), "fp")
+    return links.unionByName(_links(again, ["x_t", "x_k", "y_t", "y_k"], distance, None)[0])
 
 
 def _components(docs: DataFrame, id_col: str, text_col: str, words: int, distance: int, most: int) -> DataFrame:
