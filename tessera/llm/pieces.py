@@ -94,7 +94,7 @@ class Normalizer:
             keep = np.array([c != " " for c in new])
             keep[1:] |= keep[:-1]  # a space after another character stays, at the end it doesn't
             keep[0] = new[0] != " "
-            end = len(new.rstrip(" "))
+            end = len(new.rstrip(" " + VISIBLE))
             keep[end:] = False
             new = "".join(c for c, k in zip(new, keep, strict=True) if k)
             starts = np.append(starts[:-1][keep], starts[end])
