@@ -1,8 +1,9 @@
 """Language identification by compression: the dictionary that helps most names the language.
 
 Each language has a Zstandard dictionary of raw content, text of that language.  A text is
-compressed whole with every dictionary and the smallest result wins.  Texts too short to tell
-from one size are compressed with smaller parts of each dictionary as well, whose sizes add up to
+compressed with every dictionary and the smallest result wins.  A long text goes in pieces well inside
+the compressor's window, which holds the dictionary only at first, and the sizes of all pieces add up:
+so every part of a text counts alike.  Texts too short to tell from one size are compressed with smaller parts of each dictionary as well, whose sizes add up to
 a finer measure.  The margin between the best two, in bits, gives a score; `min_margin` rejects.
 """
 
@@ -28,6 +29,7 @@ class Profiles:
     level: int = 6
     short: int = 400
     parts: int = 16
+    piece: int = 16 * 1024
 
 
 def plain(text: str) -> bytes:
@@ -77,7 +79,8 @@ class Measure:
             return UNKNOWN, 0.0, 0.0
         data = plain(text)
         chosen = self.whole if len(data) > self.profiles.short else self.fine
-        sizes = [(sum(len(c.compress(data)) for c in compressors) / len(compressors), lang) for lang, compressors in chosen]
+        pieces = [data[i : i + self.profiles.piece] for i in range(0, len(data), self.profiles.piece)]
+        sizes = [(sum(len(c.compress(p)) for c in compressors for p in pieces) / len(compressors), lang) for lang, compressors in chosen]
         sizes.sort(key=lambda s: s[0])  # stable: of equals, the language learned from most
         margin = sizes[1][0] - sizes[0][0] if len(sizes) > 1 else float(len(data))
         score = 1 / sum(math.pow(2, -min(60.0, size - sizes[0][0])) for size, _ in sizes)

@@ -52,6 +52,18 @@ def test_language_accuracy_on_held_out_documents(spark):
     assert found.select(F.avg((F.col("x.best") == F.col("lang")).cast("double"))).first()[0] > 0.98
 
 
+def test_the_whole_of_a_long_text_votes():
+    words = {"en": "the house and of water that with this which from people", "de": "der hund und die katze nicht auch eine wird haben werden"}
+    rng = np.random.default_rng(2)
+    write = lambda lang, n: " ".join(rng.choice(words[lang].split(), n))
+    use = language.Measure(language.Profiles(tuple((lang, write(lang, 16_000).encode()[: 96 * 1024]) for lang in words)))
+    for first, then in (("en", "de"), ("de", "en")):
+        opening = write(first, 30_000)
+        assert len(opening) > 1 << 17
+        assert use.predict(opening)[0] == first
+        assert use.predict(opening + " " + write(then, 120_000))[0] == then
+
+
 def test_narrow_margins_are_rejected(spark, odd):
     profiles = language.fit(odd)
     rows = odd.where("text is not null").select(language.identify(F.col("text"), profiles, min_margin=1e9).alias("x"))
