@@ -9,7 +9,7 @@ import html
 import json
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from tessera.operators.findings import SEVERITIES
 
@@ -48,13 +48,30 @@ def page(text: str) -> str:
     return "<!DOCTYPE html>\n<meta charset='utf-8'>\n<title>Report</title>\n" + "\n".join(lines) + "\n"
 
 
+def _write_all(df: DataFrame, path: Path) -> None:
+    """All rows as one JSON list, a partition at a time on the driver."""
+    with path.open("w", encoding="utf-8") as out:
+        for i, row in enumerate(df.toLocalIterator()):
+            out.write(("," if i else "[") + "\n" + json.dumps(row.asDict(), default=str, ensure_ascii=False))
+        out.write("\n]" if out.tell() else "[]")
+
+
 def write(workdir: str, grade: DataFrame, findings: DataFrame, tasks: DataFrame, usage: DataFrame, limit: int = 10_000, summary: str = "") -> None:
-    """report.md, report.html, findings.json and usage.json in the driver's work directory; at most `limit` findings are rendered."""
-    top, found = grade.first().asDict(), _rows(findings, limit)
-    text = markdown(top, found, _rows(tasks.where("status = 'skipped'"), limit), summary)
+    """report.md, report.html, findings.json and usage.json in the driver's work directory.
+
+    Both JSON files have all rows.  At most `limit` findings and as many gaps are rendered, kept and severe findings
+    first; the report says how many it leaves out.
+    """
     at = Path(workdir)
     at.mkdir(parents=True, exist_ok=True)
+    weight = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in SEVERITIES.items() for x in kv)), F.col("severity")).cast("double"), F.lit(0.0))
+    found = _rows(findings.orderBy(F.when(F.col("status") == "kept", 0).otherwise(1), weight.desc(), "path", "id"), limit)
+    gaps = tasks.where("status = 'skipped'")
+    text = markdown(grade.first().asDict(), found, _rows(gaps.orderBy("task_id"), limit), summary)
+    for name, n in (("findings", findings.count() - limit), ("skipped tasks", gaps.count() - limit)):
+        if n > 0:
+            text += f"\n{n} more {name} are not shown here.\n"
     (at / "report.md").write_text(text, encoding="utf-8")
     (at / "report.html").write_text(page(text), encoding="utf-8")
-    (at / "findings.json").write_text(json.dumps(found, default=str, ensure_ascii=False), encoding="utf-8")
-    (at / "usage.json").write_text(json.dumps(_rows(usage, limit), default=str), encoding="utf-8")
+    _write_all(findings, at / "findings.json")
+    _write_all(usage, at / "usage.json")

@@ -139,6 +139,17 @@ def test_report_shows_what_was_dismissed(spark, tmp_path):
     assert len(json.loads((tmp_path / "findings.json").read_text())) == 10 and json.loads((tmp_path / "usage.json").read_text())
 
 
+def test_a_short_report_shows_the_worst_and_the_file_has_all(spark, tmp_path):
+    found = spark.range(30).selectExpr("cast(id as string) AS id", "'p' AS path", "if(id = 29, 'critical', 'low') AS severity", "concat('finding ', id) AS text", "'kept' AS status", "'' AS effort", "'' AS cost", "cast(null as string) AS reason")
+    tasks = I.TASKS.df(spark)
+    render.write(str(tmp_path), P.graded(I.SCORES.df(spark).where("name = 'one critical'")), found, tasks, state.usage(tasks), limit=3)
+    text = (tmp_path / "report.md").read_text()
+    assert "finding 29" in text and "27 more findings" in text and text.count("finding ") == 3
+    assert len(json.loads((tmp_path / "findings.json").read_text())) == 30
+    render.write(str(tmp_path), P.graded(I.SCORES.df(spark).where("name = 'one critical'")), found.limit(0), tasks, state.usage(tasks))
+    assert json.loads((tmp_path / "findings.json").read_text()) == []
+
+
 def test_expectations_need_only_a_path(spark, tmp_path):
     path = tmp_path / "expected.json"
     path.write_text('[{"path": "src/a.cpp", "lines": [1, 9], "category": "coupling", "note": "n"}, {"path": "b"}, {"note": "no path"}]')
