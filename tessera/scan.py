@@ -79,6 +79,9 @@ class Scan:
         code = lambda: self.files().where(F.col("lang").isNotNull() & (F.col("lang") != "docs"))
         return self.stage("fingerprints", lambda: clones.fingerprint_rows(code(), "path", code_text(F.col("text")), CODE_TOKENS))
 
+    def co_change(self) -> DataFrame:
+        return self.stage("co_change", lambda: history.co_change(self.commits()))
+
     def inventory(self) -> dict[str, DataFrame]:
         """All evidence that needs no judgement."""
         files, edges, commits = self.files(), self.edges(), self.commits()
@@ -97,7 +100,7 @@ class Scan:
             "reach": self.stage("reach", lambda: graph.reach_labels(files, edges, repository.entry_points(files))),
             "churn": self.stage("churn", lambda: history.churn(commits, self.options.history_days)),
             "age": self.stage("age", lambda: history.file_age(commits, self.options.history_days)),
-            "co_change": self.stage("co_change", lambda: history.co_change(commits, most_paths=200)),
+            "co_change": self.co_change(),
         }
 
     # tiers of workers

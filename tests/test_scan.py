@@ -207,6 +207,17 @@ def judge(prompt, settings):
     return answer.replace('"severity": "low"', '"severity": "high"')
 
 
+def test_wide_commits_count_in_a_scan(spark, tmp_path):
+    from tessera.scan import Options, Scan
+
+    paths = {i: ["a.py", "b.py"] if i > 1 else [f"f{k:03}.py" for k in range(201)] for i in range(60)}
+    log = tmp_path / "log"
+    log.write_text("".join(f"\x01c{i}\x022024-0{1 + i % 6}-02T03:04:05+00:00\n\n" + "".join(f"{p}\n" for p in paths[i]) for i in paths))
+    found = Scan(spark, Options(workdir=str(tmp_path / "work"), history_log=str(log))).co_change()
+    assert found.where("a = 'a.py'").first().together == 58
+    assert found.where("together = 2").count() == 201 * 200 // 2
+
+
 def test_a_whole_scan_resumes_and_reports(spark, tmp_path):
     from tessera.scan import Options, Scan
 
