@@ -79,3 +79,43 @@ def test_near_dedup_of_repeated_and_missing_ids(spark, nothing):
     assert out.columns == nothing.columns
     assert sorted((r.doc_id, r.source or "") for r in out.collect()) == [(3, "a"), (4, ""), (9, "b")]
     assert near.near_dedup(nothing).count() == 0
+
+
+@pytest.mark.parametrize("rows, size", [(2048, 1 << 18), (3, 1 << 18), (2048, 100)])
+def test_crowded_keys_in_blocks_of_any_size(spark, nothing, monkeypatch, rows, size):
+    """Many texts about one template, more and less alike, of which only some are linked, in blocks of a few or all of them."""
+    monkeypatch.setattr(near, "BLOCK_ROWS", rows)
+    monkeypatch.setattr(near, "BLOCK_SHINGLES", size)
+    random.seed(7)
+    base, texts = [f"w{i}" for i in range(80)], []
+    for n in range(120):
+        text = list(base)
+        for _ in range(1 + n % 4):
+            text[random.randrange(len(text))] = f"x{random.randrange(9999)}"
+        texts.append(" ".join(text))
+    docs = spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(texts)], nothing.schema)
+    want, gone = survivors(list(enumerate(texts)))
+    assert gone > 30 and len(want) > 5
+    assert sorted(r.doc_id for r in near.near_dedup(docs).collect()) == want
+
+
+def test_joining_gives_as_many_links_as_it_joins_groups():
+    import numpy as np
+
+    random.seed(2)
+    for _ in range(40):
+        base = random.sample(range(1000), 30)
+        rows = [(i, random.randrange(4), np.array(sorted(random.sample(base, random.randrange(22, 30)) + random.sample(range(1000, 2000), random.randrange(4))), dtype=np.int64)) for i in range(24)]
+        a, b = rows[:9], rows[9:]
+
+        def groups(links):
+            root = {r[1]: r[1] for r in rows}
+            for x, y in links:
+                gx, gy = root[rows[x][1]], root[rows[y][1]]
+                root = {k: gx if v == gy else v for k, v in root.items()}
+            return root
+
+        pairs = [(x[0], y[0]) for x in a for y in b if len(set(x[2]) & set(y[2])) / len(set(x[2]) | set(y[2])) >= 0.8]
+        links = near.joining(a, b, 0.8)
+        same = lambda root: {(p, q) for p in root for q in root if root[p] == root[q]}
+        assert set(links) <= set(pairs) and same(groups(links)) == same(groups(pairs)) and len(links) <= 3

@@ -1,13 +1,13 @@
 import re
 
-import numpy as np
 import pytest
 import public_tokenizers
 import sentencepiece
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tessera.llm import mixing, quality, simhash
+from tessera.llm import mixing, quality
+from tests.llm.test_near import survivors
 
 SF = "/root/testdata/sf0.001"
 
@@ -30,19 +30,8 @@ def test_run_is_what_plain_python_makes_of_it(spark):
         if plain not in seen:
             seen.add(plain)
             rows.append(r)
-    fps = np.array([simhash.fingerprint_of(r.text) for r in rows], dtype=np.uint64)
-    root = list(range(len(rows)))
-
-    def find(x):
-        while root[x] != x:
-            x = root[x]
-        return x
-
-    for i in range(len(rows)):
-        for j in np.flatnonzero(np.bitwise_count(fps ^ fps[i]) <= 3):
-            a, b = sorted((find(i), find(int(j))))
-            root[b] = a
-    rows = [r for i, r in enumerate(rows) if find(i) == i]
+    left, _ = survivors([(r.doc_id, r.text) for r in rows])
+    rows = [r for r in rows if r.doc_id in set(left)]
     kept = spark.createDataFrame([(int(r.doc_id), r.text, r.source) for r in rows], "doc_id long, text string, source string")
     copies = {r.doc_id: r["_copies"] for r in mixing.mix_counts(kept).collect()}
     library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
