@@ -22,10 +22,26 @@ def tokens(text: Column, pattern: str = "[a-z0-9]+") -> Column:
 CODE_TOKENS = r"\w+|[^\w\s]"
 
 
-def code_text(text: Column) -> Column:
-    """Source code with comments dropped and literal values replaced by their kind."""
-    plain = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?s)/\*.*?\*/|//[^\n]*|#[^\n]*", " ")
-    plain = F.regexp_replace(plain, r"\"[^\"\n]*\"|'[^'\n]*'", " STR ")
+_STRINGS = r"\"\"\"[\s\S]*?\"\"\"|'''[\s\S]*?'''|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'"
+#: How comments begin, by language; other languages have both kinds.
+HASHED = ("python", "shell")
+SLASHED = ("javascript", "typescript", "c", "cpp", "java", "kotlin", "csharp", "go", "rust")
+
+
+def code_text(text: Column, lang: Column | None = None) -> Column:
+    """Source code with comments dropped and literal values replaced by their kind.
+
+    Strings and comments are found in one pass, so a mark of one inside the other is none; `//` is a comment and
+    `#` is not, or the other way round, by the language.
+    """
+    plain = F.coalesce(text, F.lit(""))
+    without = lambda comment: F.regexp_replace(plain, f"({_STRINGS})|{comment}", " $1 ")
+    hashed, slashed = r"#[^\n]*", r"/\*[\s\S]*?\*/|//[^\n]*"
+    if lang is None:
+        plain = without(f"{slashed}|{hashed}")
+    else:
+        plain = F.when(lang.isin(*HASHED), without(hashed)).when(lang.isin(*SLASHED), without(slashed)).otherwise(without(f"{slashed}|{hashed}"))
+    plain = F.regexp_replace(plain, _STRINGS, " STR ")
     return F.regexp_replace(plain, r"\b\d[\w.]*\b", " NUM ")
 
 

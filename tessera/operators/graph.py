@@ -64,7 +64,8 @@ def cycles(edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
 
     Nodes without an edge in or out are peeled away until none is left to peel.  What stays is
     coloured by the least node that reaches it; nodes that also reach the owner of their colour
-    are one component, which is taken out, and the rest goes round again.
+    are one component, which is taken out, and the rest goes round again.  If max_rounds is not
+    enough for any of these steps, RuntimeError is raised: no cycle is left out.
     """
     left = materialize(edges.where("src <> dst").select("src", "dst").distinct(), "edges")
     out = [edges.where("src = dst").select(F.col("src").alias("node"), F.col("src").alias("cycle")).distinct()]
@@ -79,6 +80,8 @@ def cycles(edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
         out.append(members)
         gone = members.select("node")
         left = materialize(left.join(gone, left["src"] == gone["node"], "left_anti").join(gone, F.col("dst") == gone["node"], "left_anti"), "edges")
+    else:
+        raise RuntimeError(f"cycles are left after {max_rounds} rounds")
     found = reduce(DataFrame.unionByName, out)
     return found.groupBy("node").agg(F.min("cycle").alias("cycle"))
 
@@ -92,9 +95,9 @@ def _peeled(edges: DataFrame, max_rounds: int) -> DataFrame:
         release(edges)
         edges = less
         if now == n:
-            break
+            return edges
         n = now
-    return edges
+    raise RuntimeError(f"still peeling after {max_rounds} rounds")
 
 
 def _least_ancestor(edges: DataFrame, max_rounds: int) -> DataFrame:
@@ -104,13 +107,13 @@ def _least_ancestor(edges: DataFrame, max_rounds: int) -> DataFrame:
         sent = edges.join(state, edges["src"] == state["node"]).groupBy("dst").agg(F.min("least").alias("m"))
         after = state.join(sent, state["node"] == sent["dst"], "left").select("node", F.least("least", "m").alias("least"), "least")
         after = materialize(after.toDF("node", "least", "was"), "colours")
-        changed = after.where("least <> was").isEmpty()
+        settled = after.where("least <> was").isEmpty()
         release(state)
         state = after.select("node", "least")
         state._tessera_path = after._tessera_path
-        if changed:
-            break
-    return state
+        if settled:
+            return state
+    raise RuntimeError(f"colours still move after {max_rounds} rounds")
 
 
 def clusters(definitions: DataFrame, links: DataFrame) -> DataFrame:

@@ -38,16 +38,15 @@ def is_young(commits: DataFrame, least_commits: int = 50, least_days: int = 30)
     return repo_age(commits).select(((F.col("commits") < least_commits) | (F.col("days") < least_days)).alias("young"))
 
 
-def co_change(commits: DataFrame, least: int = 2, most_paths: int | None = None, gate: bool = True) -> DataFrame:
+def co_change(commits: DataFrame, least: int = 2, gate: bool = True) -> DataFrame:
     """(a, b, together): paths changed in the same commits at least that often; nothing for a young repository.
 
-    most_paths leaves out commits that change more paths than that, such as mass renames, whose
-    pairs say nothing; None keeps all.
+    Paths with fewer commits of their own can be in no such pair and go first, so a commit that adds or renames
+    many files costs pairs only for those that changed again.  Commits of any width count.
     """
     changed = commits.select("commit_id", "path").distinct()
-    if most_paths:
-        few = changed.groupBy("commit_id").agg(F.count("*").alias("_n")).where(F.col("_n") <= most_paths).select("commit_id")
-        changed = changed.join(few, "commit_id", "left_semi")
+    often = changed.groupBy("path").agg(F.count("*").alias("_n")).where(F.col("_n") >= least).select("path")
+    changed = changed.join(often, "path", "left_semi")
     left, right = changed.withColumnRenamed("path", "a"), changed.withColumnRenamed("path", "b")
     pairs = left.join(right, "commit_id").where("a < b").groupBy("a", "b").agg(F.count("*").alias("together")).where(F.col("together") >= least)
     if gate:

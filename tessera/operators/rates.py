@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tessera.functions.text import matches
+from tessera.session import materialize
+from tessera.sources import definitions
 
 
 def counted(files: DataFrame, counters: dict[str, str], text_col: str = "text") -> DataFrame:
@@ -21,10 +23,11 @@ def module_rates(files: DataFrame, module_col: str, counters: list[str], size_co
 def rate_flags(files: DataFrame, module_col: str, counters: list[str], size_col: str, times: float = 2.0, per: int = 1000) -> DataFrame:
     """(module_col, counter, rate, whole): rates at `times` that of the whole, or more.
 
-    A counter that never occurs flags nothing.  The whole is one row, so it may be broadcast.
+    A counter that never occurs flags nothing.  Files are counted once: the whole is the sum of the modules' sums,
+    one row, so it may be broadcast.
     """
-    sums = files.groupBy(module_col).agg(F.sum(size_col).alias("size"), *(F.sum(c).alias(c) for c in counters))
-    whole = files.agg(F.sum(size_col).alias("all"), *(F.sum(c).alias(f"all_{c}") for c in counters))
+    sums = materialize(files.groupBy(module_col).agg(F.sum(size_col).alias("size"), *(F.sum(c).alias(c) for c in counters)), "module-sums")
+    whole = sums.agg(F.sum("size").alias("all"), *(F.sum(c).alias(f"all_{c}") for c in counters))
     each = F.explode(F.array(*(F.struct(F.lit(c).alias("counter"), F.col(c).alias("n"), F.col(f"all_{c}").alias("n_all")) for c in counters)))
     rows = sums.crossJoin(F.broadcast(whole)).select(module_col, "size", "all", each.alias("x")).select(module_col, "size", "all", "x.*")
     hit = (F.col("n_all") > 0) & (F.col("size") > 0) & (F.col("n") * F.col("all") >= F.lit(times) * F.col("n_all") * F.col("size"))
@@ -43,19 +46,6 @@ def restated_comments(files: DataFrame, path_col: str = "path", text_col: str =
 
 
 def long_functions(files: DataFrame, path_col: str = "path", text_col: str = "text", limit: int = 100) -> DataFrame:
-    """(path, name, lines) of Python functions over the limit.
-
-    A function runs from its `def` to the last line that is indented deeper than it, blank lines
-    apart; so no parser is needed, and files that do not parse count as well.
-    """
-    lines = files.select(path_col, F.posexplode(F.split(F.coalesce(text_col, F.lit("")), "\n")).alias("line", "code"))
-    lines = lines.where(F.trim("code") != "").withColumn("indent", F.length("code") - F.length(F.ltrim("code")))
-    name = F.regexp_extract("code", r"^\s*(?:async\s+)?def\s+(\w+)", 1)
-    starts = lines.withColumn("name", name).where("name <> ''").select(path_col, "name", F.col("line").alias("start"), F.col("indent").alias("depth"))
-    same = lines.select(F.col(path_col).alias("_p"), "line", "indent")
-    ends = starts.join(same, (starts[path_col] == same["_p"]) & (F.col("line") > F.col("start")) & (F.col("indent") <= F.col("depth")), "left")
-    ends = ends.groupBy(path_col, "name", "start", "depth").agg(F.min("line").alias("stop"))
-    last = lines.select(F.col(path_col).alias("_p"), "line")
-    inside = ends.join(last, (ends[path_col] == last["_p"]) & (F.col("line") >= F.col("start")) & (F.col("stop").isNull() | (F.col("line") < F.col("stop"))))
-    sizes = inside.groupBy(path_col, "name", "start").agg((F.max("line") - F.col("start") + 1).cast("long").alias("lines"))
-    return sizes.where(F.col("lines") > limit).select(path_col, "name", "lines")
+    """(path, name, lines) of Python functions over the limit, read by indentation, also in files that do not parse."""
+    found = definitions.definitions(files.select(F.col(path_col).alias("path"), F.lit("python").alias("lang"), F.col(text_col).alias("text")))
+    return definitions.long_functions(found, limit).withColumnRenamed("path", path_col)

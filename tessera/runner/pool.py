@@ -7,13 +7,14 @@ answer is not part of this engine: `stand_in` answers from the prompt alone, for
 from __future__ import annotations
 
 import json
+import threading
 from collections.abc import Callable, Iterator
 from dataclasses import asdict, dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tessera.sources.state import answer, save_stage, unfinished
+from tessera.sources.state import NEEDED, answered_findings, save_stage, unfinished
 
 Worker = Callable[[str, dict], str]
 
@@ -31,26 +32,47 @@ class Settings:
     timeout: int = 600
 
 
-def _json_of(message: str) -> dict | None:
+def shaped(message: str, tier: str = "scout") -> bool:
+    """Does the message hold a JSON object with what the tier's contract needs?"""
     start, end = message.find("{"), message.rfind("}")
     try:
         found = json.loads(message[start : end + 1]) if 0 <= start < end else None
     except ValueError:
-        return None
-    return found if isinstance(found, dict) and isinstance(found.get("findings"), list) else None
+        return False
+    return isinstance(found, dict) and all(isinstance(found.get(n), str if n == "summary" else list) for n in NEEDED.get(tier, ("findings",)))
 
 
-def attempt(prompt: str, worker: Worker, settings: Settings) -> tuple[str, str, int, int]:
+def timed(worker: Worker, prompt: str, how: dict) -> str:
+    """The worker's message, or TimeoutError after how['timeout'] seconds; a worker that hangs is left behind."""
+    out: dict = {}
+
+    def call() -> None:
+        try:
+            out["message"] = worker(prompt, how)
+        except Exception as error:  # noqa: BLE001  raised again by whoever waits
+            out["error"] = error
+
+    thread = threading.Thread(target=call, daemon=True)
+    thread.start()
+    thread.join(how["timeout"] or None)
+    if "error" in out:
+        raise out["error"]
+    if "message" not in out:
+        raise TimeoutError(f"no answer within {how['timeout']} s")
+    return out["message"]
+
+
+def attempt(prompt: str, worker: Worker, settings: Settings, tier: str = "scout") -> tuple[str, str, int, int]:
     """(status, message, attempts, repairs): up to `attempts` tries, each with one repair call if the structure is wrong."""
     message, repairs = "", 0
     how = asdict(settings)
     for n in range(1, settings.attempts + 1):
         try:
-            message = worker(prompt, how)
-            if _json_of(message) is None:
+            message = timed(worker, prompt, how)
+            if not shaped(message, tier):
                 repairs += 1
-                message = worker(f"{prompt}\n\nYour answer was not of the agreed structure. Give it again as one JSON object:\n{message}", how)
-            if _json_of(message) is not None:
+                message = timed(worker, f"{prompt}\n\nYour answer was not of the agreed structure. Give it again as one JSON object:\n{message}", how)
+            if shaped(message, tier):
                 return "done", message, n, repairs
         except Exception as error:  # noqa: BLE001  a worker may fail in any way; the gap is reported
             message = f"{type(error).__name__}: {error}"
@@ -69,7 +91,7 @@ def run_tier(tasks: DataFrame, worker: Worker, settings: Settings = Settings())
         for batch in batches:
             rows = []
             for row in batch.to_pylist():
-                status, message, attempts, repairs = attempt(row["prompt"] or "", worker, settings)
+                status, message, attempts, repairs = attempt(row["prompt"] or "", worker, settings, row["tier"])
                 rows.append({"tier": row["tier"], "task_id": row["task_id"], "attempt": attempts, "status": status, "repairs": repairs, "message": message, "tokens": len((row["prompt"] or "").split()) + len(message.split())})
             if rows:
                 yield pa.RecordBatch.from_pylist(rows, schema=shape)
@@ -79,21 +101,28 @@ def run_tier(tasks: DataFrame, worker: Worker, settings: Settings = Settings())
     return dealt.mapInArrow(run, "tier string, task_id string, attempt int, status string, repairs int, message string, tokens long")
 
 
-def resume_tier(tasks: DataFrame, worker: Worker, workdir: str, tier: str, settings: Settings = Settings()) -> DataFrame:
-    """All results of a tier: those of earlier runs, and of tasks that had none, added as another part."""
-    spark = tasks.sparkSession
-    done, n = None, 0
+def results_of(spark, workdir: str, tier: str) -> list[DataFrame]:
+    """What each earlier run of a tier left, with `run`, counted from 0."""
+    parts: list[DataFrame] = []
     while True:
         try:
-            part = spark.read.parquet(f"{workdir}/tier-{tier}-{n}")
+            part = spark.read.parquet(f"{workdir}/tier-{tier}-{len(parts)}")
         except Exception as error:  # noqa: BLE001
             if "PATH_NOT_FOUND" not in str(error):
                 raise
-            break
-        done, n = part if done is None else done.unionByName(part), n + 1
+            return parts
+        parts.append(part.withColumn("run", F.lit(len(parts))))
+
+
+def resume_tier(tasks: DataFrame, worker: Worker, workdir: str, tier: str, settings: Settings = Settings()) -> DataFrame:
+    """All results of a tier: those of earlier runs, and of tasks that had none, added as another part."""
+    done = None
+    parts = results_of(tasks.sparkSession, workdir, tier)
+    for part in parts:
+        done = part if done is None else done.unionByName(part)
     todo = tasks.where(F.col("tier") == tier)
     todo = todo if done is None else unfinished(todo, done)
-    fresh = save_stage(run_tier(todo, worker, settings), workdir, f"tier-{tier}-{n}")
+    fresh = save_stage(run_tier(todo, worker, settings), workdir, f"tier-{tier}-{len(parts)}").withColumn("run", F.lit(len(parts)))
     return fresh if done is None else done.where("status = 'done'").unionByName(fresh)
 
 
@@ -105,10 +134,8 @@ def deep(tasks: DataFrame, lenses: tuple[str, ...] = LENSES) -> DataFrame:
 
 
 def findings_of(results: DataFrame) -> DataFrame:
-    """Findings of finished tasks; malformed items are dropped one by one."""
-    rows = results.where("status = 'done'").select("tier", "task_id", F.explode(answer(F.col("message"))["findings"]).alias("_f"))
-    good = F.col("_f.path").isNotNull() & F.col("_f.severity").isin("low", "medium", "high", "critical")
-    return rows.where(good).select("tier", "task_id", "_f.*")
+    """Findings of finished tasks, with their tier and task; malformed items are dropped one by one."""
+    return answered_findings(results.where("status = 'done'").select("tier", "task_id", "message")).drop("message")
 
 
 def stand_in(prompt: str, settings: dict) -> str:
@@ -121,4 +148,4 @@ def stand_in(prompt: str, settings: dict) -> str:
         if "TODO" in code and number.strip().isdigit():
             n = int(number)
             found.append({"id": f"STAND-{len(found):04d}", "path": path, "line_lo": n, "line_hi": n, "category": "unfinished", "severity": "low", "effort": "small", "cost": "left undone", "text": code.strip()})
-    return json.dumps({"findings": found, "summary": f"{len(found)} findings"})
+    return json.dumps({"findings": found, "decisions": [], "summary": f"{len(found)} findings"})

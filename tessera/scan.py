@@ -18,8 +18,8 @@ from tessera.functions.text import CODE_TOKENS, COUNTERS, code_text
 from tessera.operators import clones, findings as P, graph, history, rates
 from tessera.operators.recall import recall
 from tessera.report import render
-from tessera.runner import plan, pool
-from tessera.sources import repository, state
+from tessera.runner import notes, plan, pool
+from tessera.sources import definitions, repository, state
 
 TIERS = ("scout", "architect", "systems", "flow", "editor", "appeal", "chief")
 
@@ -77,32 +77,76 @@ class Scan:
 
     def fingerprints(self) -> DataFrame:
         code = lambda: self.files().where(F.col("lang").isNotNull() & (F.col("lang") != "docs"))
-        return self.stage("fingerprints", lambda: clones.fingerprint_rows(code(), "path", code_text(F.col("text")), CODE_TOKENS))
+        return self.stage("fingerprints", lambda: clones.fingerprint_rows(code(), "path", code_text(F.col("text"), F.col("lang")), CODE_TOKENS))
 
     def co_change(self) -> DataFrame:
         return self.stage("co_change", lambda: history.co_change(self.commits()))
 
+    def definitions(self) -> DataFrame:
+        return self.stage("definitions", lambda: definitions.definitions(self.files()))
+
+    def counts(self) -> DataFrame:
+        """Files with the six counters of habits."""
+
+        def make() -> DataFrame:
+            files = self.files()
+            each = lambda rows, name: rows.groupBy("path").agg(F.count("*").alias(name))
+            restated = each(rates.restated_comments(files.where("lang IS NOT NULL AND lang <> 'docs'")), "restated_comments")
+            long = each(self.stage("long_functions", lambda: definitions.long_functions(self.definitions())), "long_functions")
+            counted = rates.counted(files, COUNTERS).drop("text").join(restated, "path", "left").join(long, "path", "left")
+            return counted.fillna(0, ["restated_comments", "long_functions"])
+
+        return self.stage("counts", make)
+
     def inventory(self) -> dict[str, DataFrame]:
         """All evidence that needs no judgement."""
-        files, edges, commits = self.files(), self.edges(), self.commits()
-        counted = rates.counted(files, COUNTERS)
+        files, edges, commits, counted = self.files(), self.edges(), self.commits(), self.counts()
+        habits = [*COUNTERS, "restated_comments", "long_functions"]
         copied = self.stage("copied", lambda: clones.copied_tokens(self.fingerprints(), "path"))
         linked = lambda: graph.with_header_importers(edges.where(F.col("kind") != "string"), files)
+        routed = lambda: clones.routed(copied, files, "path", "module")
+        roots = self.stage("entry_points", lambda: repository.entry_points(files))
+
+        def seams() -> DataFrame:
+            found = self.definitions()
+            named = found.select(F.col("path").alias("file"), definitions.full_name().alias("name")).distinct()
+            return graph.seams(graph.clusters(named, definitions.links(found)), definitions.calls(found, edges))
+
         return {
-            "rates": self.stage("rates", lambda: rates.module_rates(counted, "module", list(COUNTERS), "loc")),
-            "flags": self.stage("flags", lambda: rates.rate_flags(counted, "module", list(COUNTERS), "loc")),
-            "restated": self.stage("restated", lambda: rates.restated_comments(files.where("lang IS NOT NULL"))),
-            "long_functions": self.stage("long_functions", lambda: rates.long_functions(files.where("lang = 'python'"))),
+            "rates": self.stage("rates", lambda: rates.module_rates(counted, "module", habits, "loc")),
+            "flags": self.stage("flags", lambda: rates.rate_flags(counted, "module", habits, "loc")),
+            "restated": counted.where("restated_comments > 0").select("path", F.col("restated_comments").alias("n")),
+            "long_functions": self.stage("long_functions", lambda: definitions.long_functions(self.definitions())),
             "copied": copied,
-            "trees": self.stage("trees", lambda: clones.parallel_trees(files, commits)),
+            "module_copies": self.stage("module_copies", lambda: routed()[0]),
+            "largest_copies": self.stage("largest_copies", lambda: routed()[1]),
+            "trees": self.stage("trees", lambda: clones.all_trees(files, commits, self.fingerprints())),
             "fan_in": self.stage("fan_in", lambda: graph.fan_in(linked())),
             "cycles": self.stage("cycles", lambda: graph.cycles(edges)),
-            "reach": self.stage("reach", lambda: graph.reach_labels(files, edges, repository.entry_points(files))),
+            "seams": self.stage("seams", seams),
+            "reach": self.stage("reach", lambda: graph.reach_labels(files, edges, roots)),
+            "disagreements": self.stage("disagreements", lambda: P.documented_and_launched(roots.where("kind = 'docs'"), roots.where("kind = 'launched'"))),
             "churn": self.stage("churn", lambda: history.churn(commits, self.options.history_days)),
             "age": self.stage("age", lambda: history.file_age(commits, self.options.history_days)),
             "co_change": self.co_change(),
+            "habits": self.stage("habits", lambda: P.habit_findings(rates.rate_flags(counted, "module", habits, "loc"), "module")),
         }
 
+    def evidence_for(self, tier: str) -> DataFrame:
+        """(subject, notes) for the prompts of a tier."""
+        make = {"architect": notes.by_module, "systems": notes.of_all}.get(tier, notes.by_file)
+        return self.stage({"architect": "notes-module", "systems": "notes-all"}.get(tier, "notes-file"), lambda: make(self.inventory()))
+
+    def traffic(self) -> DataFrame:
+        """(path, commits, fan_in, age_days) of all files that have any of them."""
+        found = self.inventory()
+        rows = found["churn"].join(found["fan_in"].withColumnRenamed("dst", "path"), "path", "full_outer")
+        return rows.join(found["age"], "path", "full_outer")
+
+    def first(self) -> DataFrame:
+        """The kept findings to fix first."""
+        return P.fix_first(self.decided().where("status = 'kept'").drop("merged"), self.traffic())
+
     # tiers of workers
 
     def plan(self, tier: str) -> DataFrame:
@@ -111,22 +155,24 @@ class Scan:
 
         def make() -> DataFrame:
             if tier == "scout":
-                tasks = plan.scouts(files, self.options.shard_loc)
+                tasks = plan.scouts(files, self.options.shard_loc, self.evidence_for(tier))
             elif tier == "architect":
-                tasks = plan.architects(files)
+                tasks = plan.architects(files, self.evidence_for(tier), state.answered_cards(self.finished("scout")))
             elif tier == "systems":
-                tasks = plan.systems(files)
+                by = F.regexp_replace("task_id", "^architect/|/(?:" + "|".join(pool.LENSES) + ")$", "")
+                told = self.finished("architect").select(by.alias("module"), state.answer(F.col("message"))["summary"].alias("summary"))
+                tasks = plan.systems(files, self.evidence_for(tier), told)
             elif tier == "flow":
-                roots = repository.entry_points(files).where("kind = 'launched'").select(F.col("path").alias("flow"))
-                steps = roots.join(self.edges(), F.col("flow") == F.col("src")).select("flow", F.lit(2).alias("seq"), F.col("dst").alias("path"))
-                tasks = plan.flows(steps.unionByName(roots.select("flow", F.lit(1).alias("seq"), F.col("flow").alias("path"))).distinct()).orderBy("task_id").limit(6)
+                steps = state.answered_flows(self.finished("systems")).select("flow", "seq", "path").distinct()
+                tasks = plan.flows(steps, files)
             elif tier == "editor":
-                tasks = plan.reviews(self.raised(), "editor")
+                tasks = plan.reviews(self.raised(), "editor", files=files, notes=self.evidence_for(tier))
             elif tier == "appeal":
-                doubtful = P.to_appeal(self.raised(), self.decisions(("editor",))).select("id")
-                tasks = plan.reviews(self.raised().join(doubtful, "id", "left_semi"), "appeal", self.options.appeal_batch)
+                doubtful = P.to_appeal(self.raised(), self.decisions(("editor",))).select("id", "reason")
+                tasks = plan.reviews(self.raised().join(doubtful, "id"), "appeal", self.options.appeal_batch, files, self.evidence_for(tier))
             else:
-                tasks = plan.chief(self.decided())
+                themes = self.finished("systems").select(F.explode(state.answer(F.col("message"))["themes"]).alias("theme"))
+                tasks = plan.chief(self.decided().where("status = 'kept'"), self.first(), themes)
             return pool.deep(tasks) if self.options.deep and tier in ("scout", "architect", "systems", "flow") else tasks
 
         return self.stage(f"plan-{tier}", make)
@@ -137,26 +183,26 @@ class Scan:
     def results(self, tiers: tuple[str, ...]) -> DataFrame | None:
         out = None
         for tier in tiers:
-            n = 0
-            while self._has(f"tier-{tier}-{n}"):
-                part = self.spark.read.parquet(f"{self.options.workdir}/tier-{tier}-{n}")
-                out, n = part if out is None else out.unionByName(part), n + 1
+            for part in pool.results_of(self.spark, self.options.workdir, tier):
+                out = part if out is None else out.unionByName(part)
         return out
 
+    def finished(self, *tiers: str) -> DataFrame:
+        """(tier, task_id, message) of a tier's tasks that some run finished."""
+        found = self.results(tiers)
+        if found is None:
+            return self.spark.createDataFrame([], "tier string, task_id string, message string")
+        return found.where("status = 'done'").select("tier", "task_id", "message")
+
     def raised(self) -> DataFrame:
         """Valid findings of the first four tiers, duplicates merged, each with an id of its own."""
-        found = pool.findings_of(self.results(TIERS[:4])).drop("tier", "task_id", "id")
+        found = state.answered_findings(self.finished(*TIERS[:4])).drop("tier", "task_id", "message", "id")
         found = found.withColumn("id", P.finding_id("FINDING", "path", "category", "line_lo", "text"))
         return P.lower_bar(P.merge(P.valid(found)), self.files().select("path", "is_test", (F.col("lang") == "shell").alias("is_script")))
 
     def decisions(self, tiers: tuple[str, ...] = ("editor", "appeal")) -> DataFrame:
         """What editors and appeals decided, from the `decisions` of their answers."""
-        shape = "struct<decisions: array<struct<finding_id: string, action: string, new_severity: string, merged_into: string, reason: string>>>"
-        done = self.results(tiers)
-        if done is None:
-            return self.spark.createDataFrame([], "tier string, finding_id string, action string, new_severity string, merged_into string, reason string")
-        rows = done.where("status = 'done'").select("tier", F.explode(F.from_json(F.regexp_extract("message", r"(?s)(\{.*\})", 1), shape)["decisions"]).alias("d"))
-        return rows.select("tier", "d.*").where("finding_id IS NOT NULL AND action IN ('verify', 'merge', 'rerate', 'drop')")
+        return state.answered_decisions(self.finished(*tiers)).select("tier", *state.DECISION.names)
 
     def decided(self) -> DataFrame:
         return P.apply_decisions(self.raised(), self.decisions())
@@ -180,7 +226,8 @@ class Scan:
 
     def report(self) -> None:
         tasks = self.results(TIERS)
-        render.write(self.options.workdir, self.grade(), self.decided(), tasks, state.usage(tasks))
+        said = self.finished("chief").select(state.answer(F.col("message"))["summary"].alias("s")).where("s IS NOT NULL").agg(F.min("s").alias("s")).first()["s"]
+        render.write(self.options.workdir, self.grade(), self.decided(), tasks, state.usage(tasks), summary=said or "", first=self.first(), habits=self.inventory()["habits"])
 
     def recall(self, expected: str) -> DataFrame:
         return recall(state.expectations(self.spark, expected), self.decided())

@@ -202,7 +202,7 @@ def judge(prompt, settings):
     import re
 
     if "Role: editor" in prompt:
-        return json.dumps({"findings": [], "decisions": [{"finding_id": i, "action": "drop", "reason": "a habit"} for i in re.findall(r"FINDING-[0-9a-f]{8}", prompt)]})
+        return json.dumps({"decisions": [{"finding_id": i, "action": "drop", "reason": "a habit"} for i in re.findall(r"FINDING-[0-9a-f]{8}", prompt)]})
     answer = pool.stand_in(prompt, settings)
     return answer.replace('"severity": "low"', '"severity": "high"')
 
@@ -240,3 +240,69 @@ def test_a_whole_scan_resumes_and_reports(spark, tmp_path):
     again = Scan(spark, Options(root=str(root), workdir=str(work)), judge)
     assert again.run("scout").count() == again.plan("scout").count()
     assert spark.read.parquet(f"{work}/tier-scout-1").count() == 0
+
+
+def test_a_tier_needs_its_own_structure():
+    decided = '{"decisions": [{"finding_id": "F", "action": "drop"}]}'
+    for tier in ("editor", "appeal"):
+        assert pool.attempt("", lambda p, h: decided, pool.Settings(), tier)[:1] == ("done",)
+        assert pool.attempt("", lambda p, h: '{"findings": []}', pool.Settings(), tier)[0] == "skipped"
+    assert pool.attempt("", lambda p, h: decided, pool.Settings(), "scout")[0] == "skipped"
+    assert pool.shaped('{"summary": "s"}', "chief") and not pool.shaped('{"summary": []}', "chief") and not pool.shaped("{", "chief")
+
+
+def test_a_worker_that_hangs_is_left_behind():
+    import time
+
+    status, message, attempts, _ = pool.attempt("", lambda p, h: time.sleep(60), pool.Settings(attempts=2, timeout=1))
+    assert (status, attempts) == ("skipped", 2) and "within 1 s" in message
+
+
+def test_answers_of_other_tiers(spark):
+    message = json.dumps({"decisions": [{"finding_id": "F", "action": "drop", "reason": "r"}, {"action": "drop"}, {"finding_id": "G", "action": "odd"}], "flows": [{"name": "start", "paths": ["a", "b"]}, {"paths": ["c"]}], "cards": [{"path": "a", "role": "entry"}, {"role": "none"}]})
+    rows = spark.createDataFrame([("t", message), ("u", None), ("v", "no")], "task_id string, message string")
+    assert [(r.task_id, r.finding_id, r.action, r.reason) for r in state.answered_decisions(rows).collect()] == [("t", "F", "drop", "r")]
+    assert sorted((r.flow, r.seq, r.path) for r in state.answered_flows(rows).collect()) == [("start", 1, "a"), ("start", 2, "b")]
+    assert [(r.path, r.role) for r in state.answered_cards(rows).collect()] == [("a", "entry")]
+
+
+def test_status_goes_by_the_last_run(spark):
+    rows = [("scout", "a", 0, 3, "skipped"), ("scout", "a", 1, 1, "done"), ("scout", "b", 0, 3, "skipped"), ("scout", "c", 0, 1, "done")]
+    tasks = spark.createDataFrame(rows, "tier string, task_id string, run int, attempt int, status string")
+    assert {(r.status, r.tasks) for r in state.task_status(tasks).collect()} == {("done", 2), ("skipped", 1)}
+    assert [r.task_id for r in state.gaps(tasks).collect()] == ["b"]
+
+
+def test_prompts_carry_the_evidence_of_their_tier(spark, tmp_path):
+    from tessera.scan import Options, Scan
+
+    body = "".join(f"    x = {i}\n" for i in range(120))
+    pasted = "def paste(rows):\n" + "".join(f"    total_{i} = sum(row.size_{i} for row in rows) + offset_{i}\n" for i in range(12))
+    tree = {"a/main.py": f"from a import util\nfrom a.util import one\none()\n# TODO tidy\ndef long():\n{body}", "a/util.py": pasted + "def one():\n    pass\ndef two():\n    pass\n", "b/other.py": pasted + "from a import util\ndef use():\n    two()\n", "Dockerfile": "CMD python a/main.py\n", "c/big.py": "".join(f"y_{i} = {i}\n" for i in range(400))}
+    root, work = tmp_path / "repo", tmp_path / "work"
+    for name, text in tree.items():
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_text(text)
+    asked = {}
+
+    def worker(prompt, settings):
+        role = prompt.split("\n")[0][6:]
+        if role == "systems":
+            return json.dumps({"findings": [], "themes": ["one theme"], "flows": [{"name": "start", "paths": ["a/main.py", "a/util.py"]}], "summary": "s"})
+        if role == "scout":
+            return json.dumps({**json.loads(pool.stand_in(prompt, settings)), "cards": [{"path": "a/util.py", "role": "shared helpers"}]})
+        if role == "chief":
+            return json.dumps({"summary": "All is well enough."})
+        return pool.stand_in(prompt, settings)
+
+    scan = Scan(spark, Options(root=str(root), workdir=str(work)), worker)
+    scan.scan()
+    for tier in ("scout", "architect", "systems", "flow", "editor", "chief"):
+        asked[tier] = "\n".join(r.prompt for r in scan.plan(tier).collect())
+    assert all(part in asked["scout"] for part in ("reach: launched", "imported by 2 files", "long function long of 121 lines", "copied tokens:", "reader cannot see"))
+    assert all(part in asked["architect"] for part in ("shared helpers", "copied tokens:", "long_functions at"))
+    assert "copied tokens:" in asked["systems"] and "a/main.py -> a/util.py" in asked["flow"] and "File: a/util.py" in asked["flow"]
+    assert "4| # TODO tidy" in asked["editor"] and "imported by" not in asked["chief"] and "one theme" in asked["chief"] and "unfinished" in asked["chief"]
+    report = (work / "report.md").read_text()
+    assert "All is well enough." in report and "## Fix first" in report and "long_functions at" in report
+    assert {c for c in scan.inventory()["rates"].columns if c.endswith("_rate")} == {f"{c}_rate" for c in ("swallowed_catches", "broad_catches", "logging_calls", "fallback_mentions", "restated_comments", "long_functions")}
