@@ -1,10 +1,11 @@
 """Language identification by compression: the dictionary that helps most names the language.
 
 Each language has a Zstandard dictionary of raw content, text of that language.  A text is
-compressed with every dictionary and the smallest result wins.  A long text goes in pieces well inside
-the compressor's window, which holds the dictionary only at first, and the sizes of all pieces add up:
-so every part of a text counts alike.  Texts too short to tell from one size are compressed with smaller parts of each dictionary as well, whose sizes add up to
-a finer measure.  The margin between the best two, in bits, gives a score; `min_margin` rejects.
+compressed with every dictionary and the smallest result wins.  A text goes in pieces well inside the
+compressor's window, which holds the dictionary only at first, and the sizes of all pieces add up: so every part
+of a text counts alike, whatever its length.  Results are whole bytes, so languages less than `close` bytes apart
+are told apart by smaller parts of their dictionaries, whose sizes add up to a finer measure.  The margin
+between the best two gives a score; `min_margin` rejects.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ class Profiles:
 
     content: tuple[tuple[str, bytes], ...]
     level: int = 6
-    short: int = 400
+    close: float = 2.0
     parts: int = 16
     piece: int = 16 * 1024
 
@@ -78,12 +79,18 @@ class Measure:
         if not text or not any(map(str.isalpha, text)) or not self.whole:
             return UNKNOWN, 0.0, 0.0
         data = plain(text)
-        chosen = self.whole if len(data) > self.profiles.short else self.fine
         pieces = [data[i : i + self.profiles.piece] for i in range(0, len(data), self.profiles.piece)]
-        sizes = [(sum(len(c.compress(p)) for c in compressors for p in pieces) / len(compressors), lang) for lang, compressors in chosen]
-        sizes.sort(key=lambda s: s[0])  # stable: of equals, the language learned from most
-        margin = sizes[1][0] - sizes[0][0] if len(sizes) > 1 else float(len(data))
-        score = 1 / sum(math.pow(2, -min(60.0, size - sizes[0][0])) for size, _ in sizes)
+        total = lambda compressors: sum(len(c.compress(p)) for c in compressors for p in pieces) / len(compressors)
+        sizes = [(total(compressors), lang) for lang, compressors in self.whole]
+        least = min(size for size, _ in sizes)
+        close = [lang for size, lang in sizes if size - least < self.profiles.close]
+        over = {lang: size - least for size, lang in sizes}
+        if len(close) > 1:
+            finer = {lang: total(compressors) for lang, compressors in self.fine if lang in close}
+            over |= {lang: size - min(finer.values()) for lang, size in finer.items()}
+        sizes = sorted(((over[lang], lang) for _, lang in sizes), key=lambda s: s[0])  # stable: of equals, the language learned from most
+        margin = sizes[1][0] if len(sizes) > 1 else float(len(data))
+        score = 1 / sum(math.pow(2, -min(60.0, 8 * size / math.sqrt(len(data)))) for size, _ in sizes)
         return sizes[0][1], score, margin
 
 
@@ -101,8 +108,9 @@ def identify(text: Column, profiles: Profiles, min_margin: float = 1.0) -> Colum
 
     best is the language with the smallest result, of equals the one with most labelled rows; lang is the same unless
     the margin is under min_margin bytes, then `und`.  Null, texts without a letter, and any text
-    when nothing was learned are `und` with score 0.  Score is the share of the best language when
-    every byte more halves a language's share.
+    when nothing was learned are `und` with score 0.  Score is the share of the best language when every
+    bit more, divided by the root of the text's bytes, halves a language's share: so a text of two languages in
+    like parts scores low however long it is.  Repeated texts have equal rows; columns besides the text are not read.
     """
 
     @F.arrow_udf(_PREDICTED)
