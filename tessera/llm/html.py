@@ -4,8 +4,11 @@ A page is cut into blocks at block-level tags.  What stands in navigation, forms
 like, or in elements whose class, id or role says so, is left out by its place.  The first pass
 decides every other block by the share of its characters in links, its length and the share of
 stop words; blocks that are short, or whose words say little, stay open.  The second pass gives an
-open block the label of its nearest decided neighbours.  Inside an article element, text without
-links is never decided against by its words alone, and neighbours are looked for in the article.
+open block the label of its nearest decided neighbours, in the same article where there is one; text
+without links is never decided against by its words alone.  So pages without an article element, or
+without telling names, go by words, lengths and links.
+
+Reading a page takes time in proportion to its length, whatever stands in it.
 """
 
 from __future__ import annotations
@@ -89,6 +92,8 @@ def blocks(page: str) -> list[Block]:
     """Blocks of text, in page order, that their place does not rule out."""
     out, stack = [], [_Open("", False, 0)]
     block, articles, link, at = Block(0), 0, 0, 0
+    names: dict[str, int] = {}  # how many of the open elements have a name
+    last = page.rfind(">") + 1  # no tag ends after it
 
     def text(piece: str) -> None:
         if piece and not stack[-1].outside:
@@ -103,9 +108,17 @@ def blocks(page: str) -> list[Block]:
             out.append(block)
         block = Block(stack[-1].article)
 
-    while found := TOKEN.search(page, at):
+    def close(depth: int) -> None:
+        for gone in stack[depth:]:
+            names[gone.name] -= 1
+        del stack[depth:]
+
+    while found := TOKEN.search(page, at, last):
         text(page[at : found.start()])
         at = found.end()
+        if found[0].startswith("<!--") and not found[0].endswith("-->"):
+            at = len(page)
+            break
         name = (found[2] or "").lower()
         if not name:
             continue
@@ -121,16 +134,15 @@ def blocks(page: str) -> list[Block]:
             text(" ")
         elif name in BLOCKS:
             if closing:
-                depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].name == name), None)
                 finish()
-                if depth is not None:
-                    del stack[depth:]
+                if names.get(name):
+                    close(next(i for i in range(len(stack) - 1, 0, -1) if stack[i].name == name))
             else:
                 finish()
                 if stack[-1].name == "p":
-                    stack.pop()
+                    close(len(stack) - 1)
                 if name in ("li", "dt", "dd", "tr", "td", "th", "option") and stack[-1].name == name:
-                    stack.pop()
+                    close(len(stack) - 1)
                 if name not in VOID:
                     above, own = stack[-1], name in ("article", "main")
                     articles += own
@@ -139,9 +151,11 @@ def blocks(page: str) -> list[Block]:
                     if name not in ("html", "body", "article", "main") and attributes and not outside:
                         outside = _marked(attributes, article)
                     stack.append(_Open(name, outside, article))
+                    names[name] = names.get(name, 0) + 1
             block.article, block.heading = stack[-1].article, not closing and name in HEADINGS
             link = 0
-    text(page[at:])
+    rest = page[at:]
+    text(rest[: rest.find("<!--")] if "<!--" in rest else rest)
     finish()
     return out
 
@@ -159,15 +173,15 @@ def first_pass(block: Block, rules: Rules) -> str:
     density = sum(w in STOP_WORDS for w in words) / max(1, len(words))
     if density >= rules.stop_high or block.article and density >= rules.stop_low:
         return "good"
-    if block.article or density >= rules.stop_low or size >= rules.long and not block.linked:
-        return "open"
-    return "bad"
+    if size >= rules.long and density >= rules.stop_low and not block.linked:
+        return "good"
+    return "bad" if block.linked and density < rules.stop_low and not block.article else "open"
 
 
 def second_pass(found: list[Block], labels: list[str]) -> list[bool]:
     """Open blocks take the label of the nearest decided block, headings that of the next one.
 
-    Of two as near, good wins inside an article only.
+    Of two as near, good wins, but for blocks with links outside articles.
     """
     n, out = len(found), [label == "good" for label in labels]
     before, last = [None] * n, None
@@ -193,7 +207,7 @@ def second_pass(found: list[Block], labels: list[str]) -> list[bool]:
             continue
         least = min(d for d, _ in near)
         said = {good for d, good in near if d == least}
-        out[i] = said == {True} or len(said) == 2 and bool(inside)
+        out[i] = said == {True} or len(said) == 2 and (bool(inside) or not found[i].linked)
     return out
 
 
@@ -208,7 +222,11 @@ def main_text(page: str | None, rules: Rules = Rules()) -> str:
 
 
 def extracted(page: Column, rules: Rules = Rules()) -> Column:
-    """main_text of each whole page."""
+    """main_text of each whole page.
+
+    Null, empty and text-free pages have the empty text; very long ones are read whole; repeated rows have equal
+    results.  Only this column is read, so other columns may have any names.
+    """
 
     @F.arrow_udf(T.StringType())
     def run(pages: pa.Array) -> pa.Array:

@@ -26,6 +26,30 @@ def test_main_text(page, want):
     assert found == want or (page and page.startswith("<p title") and found.startswith(WORDS)) or (page and page.startswith("no markup"))
 
 
+@pytest.mark.parametrize("make", ["<b ", "<a href='", "<div>", "<!-- ", "</p>", '<b "', "<script>", "&amp", "<a>x", "<div></p>"])
+def test_pages_take_time_in_proportion_to_their_length(make):
+    import time
+
+    began = time.perf_counter()
+    html.main_text(make * (1_000_000 // len(make)))
+    assert time.perf_counter() - began < 10
+
+
+def test_words_and_links_decide_without_articles_and_telling_names(spark):
+    """Pages as supplied, their places and names taken away: nearly all blocks of the article stay, and little else."""
+    import re
+
+    from collections import Counter
+
+    hits = kept = wanted = 0
+    for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect():
+        want = Counter(html.main_text(r.html).split("\n"))
+        plain = re.sub(r"<(/?)(?:article|main|nav|aside|footer|header|form)\b[^>]*>", r"<\1div>", re.sub(r"\s(?:class|id|role)=(?:\"[^\"]*\"|'[^']*'|[^\s>]+)", "", r.html or ""))
+        found = Counter(html.main_text(plain).split("\n"))
+        hits, kept, wanted = hits + (want & found).total(), kept + found.total(), wanted + want.total()
+    assert hits / wanted > 0.88 and hits / kept > 0.95
+
+
 def test_pages_keep_rows(spark):
     rows = spark.createDataFrame([(1, "u", None), (2, None, "<p>x"), (2, None, "<p>x"), (3, "u", "<div>" * 3000 + WORDS)], "page_id long, url string, html string")
     got = rows.select("page_id", html.extracted(F.col("html")).alias("text")).collect()
@@ -64,6 +88,22 @@ def test_the_whole_of_a_long_text_votes():
         assert use.predict(opening + " " + write(then, 120_000))[0] == then
 
 
+def test_two_languages_in_like_parts_score_low_and_one_in_a_long_text_wins():
+    import random
+
+    random.seed(4)
+    words = {lang: ["".join(random.choices(letters, k=random.randrange(3, 9))) for _ in range(400)] for lang, letters in (("x", "abcdefgh"), ("y", "mnopqrst"))}
+    write = lambda lang, n: " ".join(random.choices(words[lang], k=n))
+    use = language.Measure(language.Profiles(tuple((lang, write(lang, 16_000).encode()[: 96 * 1024]) for lang in words)))
+    assert use.predict(write("x", 3_000) + " " + write("y", 900_000))[0] == "y"  # 20 KB against 6 MB
+    assert use.predict(write("y", 20_000))[1] > 0.99
+    one = write("x", 20_000)
+    table = str.maketrans("abcdefgh", "mnopqrst")
+    even = language.Measure(language.Profiles((("x", one[:90_000].encode()), ("y", one[:90_000].translate(table).encode()))))
+    half = write("x", 5_000)
+    assert even.predict(half + " " + half.translate(table))[1] < 0.95
+
+
 def test_narrow_margins_are_rejected(spark, odd):
     profiles = language.fit(odd)
     rows = odd.where("text is not null").select(language.identify(F.col("text"), profiles, min_margin=1e9).alias("x"))
