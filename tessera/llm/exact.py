@@ -1,17 +1,18 @@
 """Exact deduplication by progressive refinement: length, then a prefix's hash, then the full hash.
 
-The first two steps are counts per key, combined before their shuffle, over numbers only.  The
-full hash is taken where a row's (length, prefix) is shared.  Those shared keys are broadcast only
-while there are at most `max_broadcast_keys` of them (16 bytes each); beyond that every row is
-hashed in the scan itself, which costs less than moving texts to the keys would.  Both ways give
-the same groups.  Texts are never shuffled by any of these steps.
+Each step reads only what the one before it left.  Lengths are counted over all rows; prefixes are hashed of
+rows whose length another row has; whole texts are hashed of rows that share length and prefix with another.
+The counts are combined before their shuffle and are over numbers only.  Shared lengths and shared
+(length, prefix) keys go to the rows by broadcast while there are at most `max_broadcast_keys` of them (16 bytes
+each).  Beyond that rows are hashed in the scan itself, which costs less than moving texts to keys would;
+both ways give the same rows.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tessera.llm.rows import packed, unpacked
+from tessera.llm.rows import packed, set_aside, unpacked
 from tessera.session import broadcast_if, materialize
 
 SPACE = r"[\x20\x09-\x0D]+"
@@ -26,25 +27,42 @@ def full_hash(text: Column) -> Column:
     return F.sha2(normalised(text), 256)
 
 
-def _keys(text: Column, prefix: int) -> tuple[Column, Column]:
-    plain = normalised(text)
-    return F.octet_length(plain), F.xxhash64(F.substring(plain, 1, prefix))
+def _length(text: Column) -> Column:
+    return F.octet_length(normalised(text))
 
 
-def hashed(docs: DataFrame, text_col: str = "text", prefix: int = 256, max_broadcast_keys: int = 1_000_000) -> DataFrame:
-    """docs with `_hash`: the full hash of each text that shares its length and prefix, else null.
+def _start(text: Column, prefix: int) -> Column:
+    return F.xxhash64(F.substring(normalised(text), 1, prefix))
 
-    When more than max_broadcast_keys keys are shared, unshared rows have their hash too.
-    """
-    n, p = _keys(F.col(text_col), prefix)
-    rows = materialize(docs.select(n.alias("n"), p.alias("p")).groupBy("n", "p").agg(F.count("*").alias("rows")), "prefixes")
-    lengths = rows.groupBy("n").agg(F.sum("rows").alias("of_length")).where("of_length > 1").select("n")
-    shared = materialize(rows.where("rows > 1").join(lengths, "n", "left_semi").select(F.xxhash64("n", "p").alias("_key")).distinct(), "shared-prefixes")
-    if shared.count() > max_broadcast_keys:
-        return docs.withColumn("_hash", full_hash(F.col(text_col)))
-    marked = docs.withColumn("_row_key", F.xxhash64(n, p))
-    marked = marked.join(F.broadcast(shared), F.col("_row_key") == F.col("_key"), "left")
-    return marked.withColumn("_hash", F.when(F.col("_key").isNotNull(), full_hash(F.col(text_col)))).drop("_row_key", "_key")
+
+def shared_lengths(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """(n): lengths that two rows or more have."""
+    counts = docs.select(_length(F.col(text_col)).alias("n")).groupBy("n").agg(F.count("*").alias("rows"))
+    return materialize(counts.where("rows > 1").select("n"), "shared-lengths")
+
+
+def shared_prefixes(docs: DataFrame, lengths: DataFrame, text_col: str = "text", prefix: int = 256, max_broadcast_keys: int = 1_000_000) -> DataFrame:
+    """(_shared): keys of (length, prefix) that two rows or more have, of rows with one of these lengths."""
+    held = broadcast_if(lengths, max_broadcast_keys)
+    text = F.col(text_col)
+    if held is lengths:  # more lengths than that: 16 bytes a row move, no text
+        rows = docs.select(_length(text).alias("n"), _start(text, prefix).alias("p")).join(held, "n", "left_semi")
+    else:
+        rows = docs.select(_length(text).alias("n"), text.alias("x")).join(held, "n", "left_semi").select("n", _start(F.col("x"), prefix).alias("p"))
+    counts = rows.groupBy("n", "p").agg(F.count("*").alias("rows")).where("rows > 1")
+    return materialize(counts.select(F.xxhash64("n", "p").alias("_shared")).distinct(), "shared-prefixes")
+
+
+def hashed(docs: DataFrame, text_col: str = "text", prefix: int = 256, max_broadcast_keys: int = 1_000_000) -> DataFrame:
+    """docs with `_hash`: the full hash of each text that shares its length and prefix; of others it may be null."""
+    shared = shared_prefixes(docs, shared_lengths(docs, text_col), text_col, prefix, max_broadcast_keys)
+    held = broadcast_if(shared, max_broadcast_keys)
+    text = F.col(text_col)
+    if held is shared:
+        return docs.withColumn("_hash", full_hash(text))
+    marked = docs.withColumn("_row_key", F.xxhash64(_length(text), _start(text, prefix)))
+    marked = marked.join(held, F.col("_row_key") == F.col("_shared"), "left")
+    return marked.withColumn("_hash", F.when(F.col("_shared").isNotNull(), full_hash(text))).drop("_row_key", "_shared")
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_broadcast_groups: int = 500_000, **how) -> DataFrame:
@@ -53,11 +71,12 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Texts are equal when `normalised` makes them identical; null is equal to the empty text.
     _keep_id is the least non-null id of the equal texts (null if none has one), _group_size counts
     rows, and _kept marks the rows with that id: rows that repeat it are one document and stay
-    together.  Groups of two rows or more (about 100 bytes each) are joined back to the rows, by
+    together.  _hash is the full hash of texts that are equal to another row's, else null.  Groups of two rows or more (about 100 bytes each) are joined back to the rows, by
     broadcast up to max_broadcast_groups of them.  Beyond that only rows that have a hash are
     shuffled to them, by the hash, and adaptive execution splits hot groups.  Input columns of
     these four names are replaced; an empty table gives an empty result.
     """
+    docs, restored = set_aside(docs, ("_row_key", "_shared", "_of", "_least", "_n"), ("_keep_id", "_group_size", "_kept", "_hash"), id_col, text_col)
     rows = hashed(docs, text_col, **how)
     groups = rows.where("_hash IS NOT NULL").groupBy("_hash").agg(F.min(id_col).alias("_least"), F.count("*").alias("_n")).where("_n > 1")
     groups = materialize(groups.select(F.col("_hash").alias("_of"), "_least", "_n"), "equal-texts")
@@ -73,7 +92,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         out = alone.unionByName(told(rows.where("_hash IS NOT NULL")))
     else:
         out = told(rows)
-    return out.withColumn("_kept", F.col(id_col).eqNullSafe(F.col("_keep_id")))
+    out = out.withColumn("_hash", F.when(F.col("_group_size") > 1, F.col("_hash")))
+    return restored(out.withColumn("_kept", F.col(id_col).eqNullSafe(F.col("_keep_id"))))
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:

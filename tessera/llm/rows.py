@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, functions as F
 
 
@@ -12,3 +14,15 @@ def packed(docs: DataFrame, *columns: str) -> DataFrame:
 
 def unpacked(rows: DataFrame) -> DataFrame:
     return rows.select("_row.*")
+
+
+def set_aside(docs: DataFrame, inner: tuple[str, ...], results: tuple[str, ...], *read: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """docs without columns named like an operator's results, those named like its inner columns under other names, and what gives them back.
+
+    Names are compared as Spark does, without regard to case; the columns that the operator reads stay.
+    """
+    keep = {c.lower() for c in read}
+    gone = [c for c in docs.columns if c.lower() in {r.lower() for r in results} - keep]
+    docs = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c not in gone)) if gone else docs
+    clash = {c: f"{c}\u0001" for c in docs.columns if c.lower() in {i.lower() for i in inner} - keep}
+    return docs.withColumnsRenamed(clash), lambda out: out.withColumnsRenamed({v: k for k, v in clash.items()})

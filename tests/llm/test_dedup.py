@@ -28,6 +28,7 @@ def test_exact_groups_are_those_of_a_dictionary(spark, odd, how):
         assert r["_group_size"] == len(group)
         assert r["_keep_id"] == (min(named) if named else None)
         assert r["_kept"] == (r.doc_id == r["_keep_id"])
+        assert (r["_hash"] is None) == (len(group) == 1)
         if len(group) > 1:
             assert r["_hash"] == hashlib.sha256(re.sub(r"[\x20\x09-\x0D]+", " ", r.text or "").encode()).hexdigest()
 
@@ -152,3 +153,24 @@ def test_hot_group_of_copies(spark):
     docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, F.lit("the same old text")).otherwise(F.concat(F.lit("text "), F.col("id").cast("string"))).alias("text"))
     assert simhash.components(docs).where("doc_id % 3 = 0").select("component_id").distinct().collect()[0][0] == 0
     assert exact.exact_groups(docs).where("_group_size > 1").count() == 1334
+
+
+def test_each_step_of_refinement_reads_what_the_one_before_it_left(spark):
+    texts = ["a", "b", "cc", "long text one", "long text two", "long tent one", "long text one", "alone of its length here"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    lengths = exact.shared_lengths(docs)
+    assert sorted(r.n for r in lengths.collect()) == [1, 13]
+    for most in (0, 10):
+        assert exact.shared_prefixes(docs, lengths, prefix=8, max_broadcast_keys=most).count() == 1  # "long tex"; a and b differ at once
+    found = exact.hashed(docs, prefix=8).where("_hash IS NOT NULL")
+    assert sorted(r.doc_id for r in found.collect()) == [3, 4, 6]
+
+
+@pytest.mark.parametrize("how", [{}, {"max_broadcast_groups": 0}])
+def test_exact_groups_take_their_own_output(spark, odd, how):
+    once = exact.exact_groups(odd, **how)
+    again = exact.exact_groups(once, **how)
+    assert sorted(once.columns) == sorted(again.columns) == sorted({*odd.columns, "_keep_id", "_group_size", "_kept", "_hash"})
+    pick = ["doc_id", "text", "_keep_id", "_group_size", "_kept", "_KEY", "_n", "_of"]
+    assert sorted(map(repr, once.select(pick).collect())) == sorted(map(repr, again.select(pick).collect()))
+    assert {r["_n"] for r in again.collect()} == {"x"}
