@@ -18,6 +18,7 @@ from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tessera.llm.rows import set_aside
 from tessera.session import materialize
 
 #: Digits of the prefixes by pass; 16 digits are the whole text hash.
@@ -79,10 +80,11 @@ def shard_by_bytes(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", tex
     exact place, or `group_tolerance` where that keeps equal texts together, unless single rows
     are larger than that.  _slot counts from 0 without gaps inside a shard, in key order.  Rows
     that repeat both id and text cannot be told apart and stay in one shard.  Null texts count as
-    empty.  An empty table gives an empty result.  The one exchange carries only the columns that
+    empty.  An empty table gives an empty result.  Input columns of the three names are replaced.  The one exchange carries only the columns that
     the caller goes on to use.
     """
     spark = docs.sparkSession
+    docs, restored = set_aside(docs, ("_key", "_prefix", "_before", "_inner", "_range", "_offset"), ("_size", "_shard", "_slot"), id_col, text_col)
     rows = docs.withColumn("_size", byte_size(F.col(text_col))).withColumn("_key", sort_key(F.col(text_col), F.col(id_col)))
     keyed = materialize(rows.select(F.col("_key").alias("key"), F.col("_size").alias("size")), "keys")
     cells, starts = splitters(keyed, shards, tolerance, group_tolerance)
@@ -112,4 +114,4 @@ def shard_by_bytes(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", tex
     rows = rows.withColumn("_range", F.col("_before") + inside).join(F.broadcast(places), "_range")
     order = Window.partitionBy("_range").orderBy("_key", id_col)
     rows = rows.withColumn("_slot", F.col("_offset") + F.row_number().over(order) - 1)
-    return rows.drop("_key", "_prefix", "_before", "_inner", "_range", "_offset")
+    return restored(rows.drop("_key", "_prefix", "_before", "_inner", "_range", "_offset"))

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tessera.llm.rows import packed, unpacked
+from tessera.llm.rows import packed, set_aside, unpacked
 from tessera.session import materialize
 
 WORDS = r"[^\x20\x09-\x0D]+"
@@ -58,10 +58,12 @@ def mix_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """docs, all columns, with _size, _source_size, _target and _copies.
 
     A text without words has size 0; a source whose texts all have none has target 0 and none of
-    its documents are taken.  Null is a source of its own.  Rows that repeat an id draw alike.
+    its documents are taken.  Null is a source of its own.  Rows that repeat an id draw alike.  Input columns of
+    these four names are replaced, so the result may go in again.
     The join on source is left to adaptive execution, which broadcasts the table of sources only
     if it has found it small, and otherwise splits hot sources.
     """
+    docs, restored = set_aside(docs, ("_source", "_rate"), ("_size", "_source_size", "_target", "_copies"), id_col, text_col, source_col)
     rows = docs.withColumn("_size", word_count(F.col(text_col)))
     sums = materialize(source_targets(rows.select(F.col(source_col).alias("source"), F.col("_size").alias("size")), **how), "targets")
     sums = sums.select(F.col("source").alias("_source"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"))
@@ -69,7 +71,7 @@ def mix_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rate = F.when(F.col("_source_size") > 0, F.col("_target") / F.col("_source_size")).otherwise(0.0)
     extra = unit(F.col(id_col), seed) < F.col("_rate") - F.floor("_rate")
     rows = rows.withColumn("_rate", rate)
-    return rows.withColumn("_copies", F.floor("_rate") + extra.cast("long")).drop("_rate")
+    return restored(rows.withColumn("_copies", F.floor("_rate") + extra.cast("long")).drop("_rate"))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:

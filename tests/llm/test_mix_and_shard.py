@@ -82,3 +82,13 @@ def test_shards_are_even_and_keep_small_groups_whole(spark, hot):
     order = sorted(out, key=lambda r: (r["_shard"], r["_slot"]))
     keys = {(r.doc_id): r.k for r in docs.select("doc_id", histogram.sort_key(F.col("text"), F.col("doc_id")).alias("k")).collect()}
     assert [keys[r.doc_id] for r in order] == sorted(keys.values())
+
+
+def test_results_go_in_again_and_other_columns_keep_their_values(odd):
+    for apply, results in ((mixing.mix_counts, ["_size", "_source_size", "_target", "_copies"]), (histogram.shard_by_bytes, ["_size", "_shard", "_slot"])):
+        once = apply(odd)
+        again = apply(once)
+        assert sorted(once.columns) == sorted(again.columns) == sorted({*odd.columns, *results})
+        others = [c for c in odd.columns if c not in results and c.startswith("_")]
+        assert {tuple(r) for r in again.select(others).collect()} == {("x",) * len(others)}
+        assert sorted(map(repr, once.select("doc_id", "text", *results).collect())) == sorted(map(repr, again.select("doc_id", "text", *results).collect()))
