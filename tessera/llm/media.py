@@ -5,12 +5,13 @@ whose quantised DC coefficient is the sample itself (the quantiser is 8, the tra
 a flat block).  The Huffman table is chosen so that every difference takes 9 bits and the empty
 rest of the block one more, so whole frames are packed and unpacked by array operations; any
 baseline decoder reads them.  `decode_frame` also decodes other baseline frames (any Huffman and
-quantiser tables, sampling factors, restart intervals), bit by bit.
+quantiser tables or the usual ones, sampling factors, restart intervals), bit by bit.
 """
 
 from __future__ import annotations
 
 import struct
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -109,31 +110,76 @@ def _chunks(data: bytes, at: int, end: int):
         at += 8 + size + size % 2
 
 
+def _video(data: bytes, at: int, end: int) -> Iterator[tuple[int, int]]:
+    """Where the video chunks of a movi list are, also those grouped in `rec ` lists."""
+    for name, start, size in _chunks(data, at, end):
+        if name == b"LIST" and data[start : start + 4] == b"rec ":
+            yield from _video(data, start + 4, start + size)
+        elif name[2:4] in (b"dc", b"db"):
+            yield start, start + size
+
+
+def _indexed(data: bytes, movi: int, index: tuple[int, int]) -> list[tuple[int, int]] | None:
+    """Where an idx1 says that video chunks are; None if it points elsewhere than at their headers."""
+    entries = [e for e in struct.iter_unpack("<4s3I", data[index[0] : index[0] + index[1] // 16 * 16]) if e[0][2:4] in (b"dc", b"db")]
+    for base in (movi, 0):  # offsets are from `movi` or from the file's start
+        places = [(base + o + 8, base + o + 8 + n) for _, _, o, n in entries]
+        if all(data[s - 8 : s - 4] == name and e <= len(data) for (s, e), (name, *_) in zip(places, entries, strict=True)):
+            return places
+    return None
+
+
 def read_avi(data: bytes) -> Avi:
-    """Frames of the first video stream, by the index if there is one, else in file order."""
+    """Frames of the first video stream, by the index where there is a right one, else in file order.
+
+    Further RIFF segments follow in file order.  The rate is that of the main header, else of the stream's, else 0.
+    """
     if data[:4] != b"RIFF" or data[8:12] != b"AVI ":
         raise ValueError("not an AVI file")
-    fps, info, movi, index = 0.0, {}, None, None
-    for name, at, size in _chunks(data, 12, len(data)):
-        kind = data[at : at + 4] if name == b"LIST" else b""
-        if kind == b"hdrl":
-            for inner, start, _ in _chunks(data, at + 4, at + size):
-                if inner == b"avih" and not fps:
-                    fps = 1e6 / max(1, struct.unpack_from("<I", data, start)[0])
-        elif kind == b"INFO":
-            info |= {inner.decode("latin-1"): data[s : s + n].rstrip(b"\0").decode("utf-8", "replace") for inner, s, n in _chunks(data, at + 4, at + size)}
-        elif kind == b"movi":
-            movi = at, size
-        elif name == b"idx1":
-            index = at, size
-    if movi is None:
-        return Avi(fps, [], info)
-    video = lambda n: n[2:4] in (b"dc", b"db")
-    if index:
-        entries = [e for e in struct.iter_unpack("<4s3I", data[index[0] : index[0] + index[1] // 16 * 16]) if video(e[0])]
-        base = movi[0] if entries and data[movi[0] + entries[0][2] :][:4] == entries[0][0] else 0  # offsets are from `movi` or from the file's start
-        return Avi(fps, [data[base + o + 8 : base + o + 8 + n] for _, _, o, n in entries], info)
-    return Avi(fps, [data[s : s + n] for name, s, n in _chunks(data, movi[0] + 4, movi[0] + movi[1]) if video(name)], info)
+    fps, rate, info, places = 0.0, 0.0, {}, []
+    for outer, begin, length in _chunks(data, 0, len(data)):
+        if outer != b"RIFF" or data[begin : begin + 4] not in (b"AVI ", b"AVIX"):
+            continue
+        movi, index = None, None
+        for name, at, size in _chunks(data, begin + 4, begin + length):
+            kind = data[at : at + 4] if name == b"LIST" else b""
+            if kind == b"hdrl":
+                for inner, start, n in _chunks(data, at + 4, at + size):
+                    if inner == b"avih" and n >= 4 and not fps:
+                        fps = 1e6 / (struct.unpack_from("<I", data, start)[0] or 1e6 / FPS)
+                    elif inner == b"LIST":
+                        for deep, s, m in _chunks(data, start + 4, start + n):
+                            if deep == b"strh" and data[s : s + 4] == b"vids" and m >= 28 and not rate:
+                                scale, per = struct.unpack_from("<2I", data, s + 20)
+                                rate = per / scale if scale else 0.0
+            elif kind == b"INFO":
+                info |= {inner.decode("latin-1"): data[s : s + n].rstrip(b"\0").decode("utf-8", "replace") for inner, s, n in _chunks(data, at + 4, at + size)}
+            elif kind == b"movi":
+                movi = at, size
+            elif name == b"idx1":
+                index = at, size
+        if movi:
+            found = _indexed(data, movi[0], index) if index else None
+            places += _video(data, movi[0] + 4, movi[0] + movi[1]) if found is None else found
+    return Avi(fps or rate, [data[s:e] for s, e in places], info)
+
+
+#: The Huffman tables that frames without their own use: counts by length, then the first symbols; the other symbols of AC tables follow in order.
+_USUAL = (
+    (0x00, (0, 1, 5, 1, 1, 1, 1, 1, 1, 0, 0, 0, 0, 0, 0, 0), tuple(range(12))),
+    (0x01, (0, 3, 1, 1, 1, 1, 1, 1, 1, 1, 1, 0, 0, 0, 0, 0), tuple(range(12))),
+    (0x10, (0, 2, 1, 3, 3, 2, 4, 3, 5, 5, 4, 4, 0, 0, 1, 125), (
+        0x01, 0x02, 0x03, 0x00, 0x04, 0x11, 0x05, 0x12, 0x21, 0x31, 0x41, 0x06, 0x13, 0x51, 0x61, 0x07, 0x22, 0x71, 0x14, 0x32, 0x81, 0x91, 0xA1, 0x08, 0x23, 0x42, 0xB1, 0xC1, 0x15, 0x52, 0xD1, 0xF0, 0x24, 0x33, 0x62, 0x72, 0x82)),
+    (0x11, (0, 2, 1, 2, 4, 4, 3, 4, 7, 5, 4, 4, 0, 1, 2, 119), (
+        0x00, 0x01, 0x02, 0x03, 0x11, 0x04, 0x05, 0x21, 0x31, 0x06, 0x12, 0x41, 0x51, 0x07, 0x61, 0x71, 0x13, 0x22, 0x32, 0x81, 0x08, 0x14, 0x42, 0x91, 0xA1, 0xB1, 0xC1, 0x09, 0x23, 0x33, 0x52, 0xF0, 0x15, 0x62, 0x72, 0xD1, 0x0A, 0x16, 0x24, 0x34, 0xE1, 0x25, 0xF1)),
+)
+
+
+@lru_cache(1)
+def usual_tables() -> dict[int, dict]:
+    """The tables that are taken where a frame has none, by class and number."""
+    symbols = {0x00, 0xF0, *(run << 4 | size for run in range(16) for size in range(1, 11))}
+    return {name: _huffman(bytes(counts) + bytes(first) + (bytes(sorted(symbols - set(first))) if name & 0x10 else b"")) for name, counts, first in _USUAL}
 
 
 def _huffman(body: bytes) -> dict[tuple[int, int], int]:
@@ -184,7 +230,8 @@ class _Bits:
 
 def _luma_coefficients(frame: bytes) -> tuple[np.ndarray, int, int]:
     """Dequantised 8x8 coefficient blocks of the first component, (rows, columns, 64), and its height and width."""
-    quantisers, tables, parts, restart = {}, {}, [], 0
+    quantisers, tables, parts, restart = {}, dict(usual_tables()), [], 0
+    scan = None
     for marker, at, end in _segments(frame):
         if marker == 0xDB:
             while at < end:
@@ -206,6 +253,8 @@ def _luma_coefficients(frame: bytes) -> tuple[np.ndarray, int, int]:
         elif marker == 0xDA:
             uses = {frame[at + 1 + 2 * i]: frame[at + 2 + 2 * i] for i in range(frame[at])}
             scan = frame[end : frame.rindex(b"\xff\xd9")]
+    if scan is None or not parts:
+        raise ValueError("a frame without a scan")
     pieces, start = [], 0
     for i in range(len(scan) - 1):
         if scan[i] == 0xFF and 0xD0 <= scan[i + 1] <= 0xD7:
@@ -309,7 +358,10 @@ def shots(frames: list[np.ndarray], window: int = 12, deviations: float = 3.0, l
 
 
 def stored(text: Column) -> Column:
-    """The AVI file of each text's padded UTF-8 bytes; null as empty."""
+    """The AVI file of each text's padded UTF-8 bytes; null as empty.
+
+    Texts of any length are stored whole, some frames at a time; equal texts have equal files.
+    """
 
     @F.arrow_udf(T.BinaryType())
     def run(texts: pa.Array) -> pa.Array:
@@ -319,14 +371,28 @@ def stored(text: Column) -> Column:
 
 
 _CLIP = T.StructType([T.StructField(n, t) for n, t in (("first", T.IntegerType()), ("end", T.IntegerType()), ("start_s", T.DoubleType()), ("end_s", T.DoubleType()), ("level", T.DoubleType()))])
-_READ = T.StructType([T.StructField("payload", T.BinaryType()), T.StructField("frames", T.IntegerType()), T.StructField("fps", T.DoubleType()), T.StructField("clips", T.ArrayType(_CLIP))])
+_READ = T.StructType([T.StructField("payload", T.BinaryType()), T.StructField("frames", T.IntegerType()), T.StructField("fps", T.DoubleType()), T.StructField("clips", T.ArrayType(_CLIP)), T.StructField("error", T.StringType())])
+
+
+def _opened(data: bytes, window: int, deviations: float, least: float) -> dict:
+    avi = read_avi(data)
+    planes = block_samples(avi.frames)
+    payload = np.concatenate([np.zeros(0, np.uint8), *planes]).tobytes()
+    said = avi.info.get("ICMT", "")
+    if said.startswith("payload=") and said[8:].isdigit():
+        payload = payload[: int(said[8:])]
+    time = lambda n: n / avi.fps if avi.fps else None
+    clips = [{"first": a, "end": b, "start_s": time(a), "end_s": time(b), "level": float(np.mean([p.mean() for p in planes[a:b]]))} for a, b in shots(planes, window, deviations, least)]
+    return {"payload": payload, "frames": len(planes), "fps": avi.fps, "clips": clips, "error": None}
 
 
 def opened(media: Column, window: int = 12, deviations: float = 3.0, least: float = 0.25) -> Column:
-    """struct(payload, frames, fps, clips) of each AVI file; null for null.
+    """struct(payload, frames, fps, clips, error) of each AVI file; null for null.
 
-    payload is the stored bytes of files that say how many they hold, else all samples; clips are
-    the shots with their times and mean sample.  A file that is not an AVI fails the task.
+    payload is the stored bytes of files that say how many they hold, else all samples; clips are the shots with
+    their times and mean sample.  A file without a rate has fps 0 and null times.  Whatever is no AVI or cannot be
+    decoded has null payload, no frames and clips, and the reason as error; empty files are such.  Repeated files
+    have equal results.  Only this column is read, so others may have any names.
     """
 
     @F.arrow_udf(_READ)
@@ -337,16 +403,12 @@ def opened(media: Column, window: int = 12, deviations: float = 3.0, least: floa
             if data is None:
                 out.append(None)
                 continue
-            avi = read_avi(data)
-            planes = block_samples(avi.frames)
-            payload = np.concatenate([np.zeros(0, np.uint8), *planes]).tobytes()
-            said = avi.info.get("ICMT", "")
-            if said.startswith("payload="):
-                payload = payload[: int(said[8:])]
-            clips = [{"first": a, "end": b, "start_s": a / avi.fps, "end_s": b / avi.fps, "level": float(np.mean([p.mean() for p in planes[a:b]]))} for a, b in shots(planes, window, deviations, least)]
-            out.append({"payload": payload, "frames": len(planes), "fps": avi.fps, "clips": clips})
+            try:
+                out.append(_opened(data, window, deviations, least))
+            except (ValueError, LookupError, struct.error) as error:
+                out.append({"payload": None, "frames": 0, "fps": 0.0, "clips": [], "error": f"{type(error).__name__}: {error}"})
         clip = pa.struct([("first", pa.int32()), ("end", pa.int32()), ("start_s", pa.float64()), ("end_s", pa.float64()), ("level", pa.float64())])
-        return pa.array(out, type=pa.struct([("payload", pa.binary()), ("frames", pa.int32()), ("fps", pa.float64()), ("clips", pa.list_(clip))]))
+        return pa.array(out, type=pa.struct([("payload", pa.binary()), ("frames", pa.int32()), ("fps", pa.float64()), ("clips", pa.list_(clip)), ("error", pa.string())]))
 
     return run(media)
 

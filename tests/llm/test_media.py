@@ -90,3 +90,48 @@ def test_files_without_an_index_and_wrong_files():
     assert media.read_avi(whole[:at]).frames == media.read_avi(whole).frames
     with pytest.raises(ValueError):
         media.read_avi(b"RIFF\0\0\0\0WAVE")
+
+
+def avi_of(frames, head=b"", index=None, movi=None):
+    lists = media._chunk(b"LIST", b"hdrl" + head)
+    body = media._chunk(b"LIST", b"movi" + (movi if movi is not None else b"".join(media._chunk(b"00dc", f) for f in frames)))
+    return media._chunk(b"RIFF", b"AVI " + lists + body + (media._chunk(b"idx1", index) if index is not None else b""))
+
+
+def plain_frame(value):
+    """A frame of one flat block, without tables of its own: the usual ones have 1110 and 6 bits for a step of 33 to 63, 00 for none, 1010 for the end."""
+    step = value - 128
+    bits = ("1110" + f"{step if step > 0 else step + 63:06b}" if step else "00") + "1010"
+    head = b"\xff\xd8" + media._segment(0xDB, b"\0" + bytes([8] + [1] * 63)) + media._segment(0xC0, struct.pack(">BHHB3B", 8, 8, 8, 1, 1, 0x11, 0)) + media._segment(0xDA, bytes([1, 1, 0, 0, 63, 0]))
+    return head + coded(bits) + b"\xff\xd9"
+
+
+def test_frames_without_tables_use_the_usual_ones():
+    assert [int(media.decode_frame(plain_frame(v))[3, 3]) for v in (128, 168, 88)] == [128, 168, 88]
+    assert sorted(len(t) for t in media.usual_tables().values()) == [12, 12, 162, 162]
+
+
+def test_groups_further_segments_and_rates():
+    frames = [plain_frame(v) for v in (128, 168, 88)]
+    some = b"".join(media._chunk(b"00dc", f) for f in frames[:2])
+    stream = struct.pack("<4s4sI2H8I4H", b"vids", b"MJPG", 0, 0, 0, 0, 2, 60, 0, 3, 0, 0, 0, 0, 0, 8, 8)
+    head = media._chunk(b"LIST", b"strl" + media._chunk(b"strh", stream))
+    more = media._chunk(b"RIFF", b"AVIX" + media._chunk(b"LIST", b"movi" + media._chunk(b"00dc", frames[2])))
+    avi = media.read_avi(avi_of([], head, movi=media._chunk(b"LIST", b"rec " + some)) + more)
+    assert avi.frames == frames and avi.fps == 30
+    wrong = struct.pack("<4s3I", b"00dc", 16, 99999, 4)
+    assert media.read_avi(avi_of(frames, index=wrong)).frames == frames
+
+
+def test_bad_files_have_a_row_that_says_so(spark):
+    whole = media.write_avi(media.padded(b"some text"))
+    odd = media.write_avi(media.padded(b"x")).replace(b"payload=64", b"payload=xy")
+    rows = [(0, whole), (1, b""), (2, b"RIFF\0\0\0\0WAVE"), (3, whole[: len(whole) // 2]), (4, avi_of([b"\xff\xd8"])), (5, avi_of([plain_frame(128)])), (6, None), (7, odd), (8, avi_of([plain_frame(128)[:-4] + b"\xff\xd9"]))]
+    rows += [(100 + i, whole[:i] + bytes([255]) + whole[i + 1 :]) for i in range(0, 400, 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, media binary")
+    got = {r.doc_id: r.r for r in docs.select("doc_id", media.opened(F.col("media")).alias("r")).collect()}
+    assert bytes(got[0].payload) == media.padded(b"some text") and got[0].error is None
+    for bad in (1, 2, 3, 4):
+        assert got[bad].payload is None and got[bad].frames == 0 and got[bad].clips == [] and got[bad].error
+    assert got[5].frames == 1 and got[5].fps == 0 and got[5].clips[0].start_s is None and got[6] is None and len(got[7].payload) == media.FRAME
+    assert len(got) == len(rows) and media.clip_rows(docs).where("doc_id IN (1, 2, 3, 4)").count() == 0

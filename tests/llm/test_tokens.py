@@ -126,3 +126,10 @@ def test_encoding_odd_rows(odd, nothing, library):
         assert r.e.decoded == library.decode(r.e.ids)
         assert not r.e.ends or r.e.ends[-1] == len(r.text.encode())
     assert nothing.select(pieces.encoded(F.col("text"), PIECES)).count() == 0
+
+
+def test_every_code_point_counts_as_in_the_library(counter, tokenizer):
+    points = [chr(i) for i in range(0x110000) if not 0xD800 <= i < 0xE000]
+    for a in range(0, len(points), 4096):
+        text = "x".join(points[a : a + 4096]) + " " + " ".join(points[a : a + 4096])
+        assert counter.count(text) == len(tokenizer.encode(text, add_special_tokens=False).ids), a
