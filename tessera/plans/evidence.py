@@ -13,7 +13,8 @@ from tessera.functions import text as T
 from tessera.operators import clones, findings as P, graph, history, packing, rates, recall as R
 from tessera.plans import inline as I
 from tessera.session import materialize, spread, table
-from tessera.sources import repository, state
+from tessera.runner import notes
+from tessera.sources import definitions, repository, state
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -55,11 +56,11 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of all documents, written once for queries that read them several times."""
-    return materialize(_winnowed(spark, sf_dir), "fingerprints")
+    return materialize(_winnowed(spark, sf_dir, wide=False).select("doc_id", "pos", "fp"), "fingerprints")
 
 
-def _winnowed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clones.winnow(spread(_documents(spark, sf_dir).select("doc_id", "text")))
+def _winnowed(spark: SparkSession, sf_dir: str, wide: bool = True) -> DataFrame:
+    return clones.winnow(spread(_documents(spark, sf_dir).select("doc_id", "text")), wide=wide)
 
 
 @query(_with(FP) + "SELECT doc_id, fp, pos FROM fp")
@@ -88,8 +89,8 @@ def clone_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 m AS (SELECT item_id, doc_id, count(*) AS shared FROM (SELECT DISTINCT doc_id, fp FROM fp) JOIN w USING (fp) GROUP BY ALL)
 SELECT item_id, doc_id, shared, round(shared / n, 6) AS share FROM m JOIN z USING (item_id) WHERE shared >= 0.5 * n""")
 def benchmark_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = clones.winnow(table(spark, sf_dir, "benchmark"), "item_id")
-    return clones.contained(_winnowed(spark, sf_dir), "doc_id", items, "item_id")
+    items = clones.winnow(table(spark, sf_dir, "benchmark"), "item_id", wide=False)
+    return clones.contained(_winnowed(spark, sf_dir, wide=False), "doc_id", items, "item_id")
 
 
 def _copied_share(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,7 +123,7 @@ p AS (SELECT x.source AS a, y.source AS b, count(*) AS shared FROM s x JOIN s y
 SELECT a, b, shared, round(shared / least(u.n, v.n), 6) AS share FROM p JOIN z u ON u.source = a JOIN z v ON v.source = b WHERE round(shared / least(u.n, v.n), 6) >= 0.01""")
 def parallel_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
-    sets = clones.fingerprint_rows(spread(docs.select("source", "text")), "source", F.lower("text"))
+    sets = clones.fingerprint_rows(spread(docs.select("source", "text")), "source", F.lower("text"), wide=False)
     return clones.parallel_groups(materialize(sets.select("source", "fp").distinct(), "source-fingerprints"), "source", 0.01)
 
 
@@ -212,9 +213,8 @@ def co_change(spark: SparkSession, sf_dir: str) -> DataFrame:
 EDGES = "edges AS (SELECT DISTINCT path AS src, min(path) OVER (PARTITION BY commit_id) AS dst FROM commits)"
 
 
-def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _edges(commits: DataFrame) -> DataFrame:
     """Each part of an order depends on the order's least part."""
-    commits = _commits(spark, sf_dir)
     least = commits.groupBy("commit_id").agg(F.min("path").alias("dst"))
     return commits.join(least, "commit_id").select(F.col("path").alias("src"), "dst").distinct()
 
@@ -224,7 +224,7 @@ FAN_IN = "fan_in AS (SELECT dst, count(DISTINCT src) AS fan_in FROM edges GROUP
 
 @query(_with(COMMITS, EDGES, FAN_IN) + "SELECT * FROM fan_in")
 def fan_in(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.fan_in(_edges(spark, sf_dir))
+    return graph.fan_in(_edges(_commits(spark, sf_dir)))
 
 
 @query(_with(I.FILES.sql, I.IMPORTS.sql) + """, h AS (SELECT regexp_extract(path, '^(.*)\\.[^./]*$', 1) AS stem, path FROM files), p AS (SELECT c.path AS impl, h.path AS header FROM h c JOIN h USING (stem) WHERE regexp_matches(c.path, '\\.(c|cc|cpp|cxx)$') AND regexp_matches(h.path, '\\.(h|hh|hpp|hxx)$')),
@@ -299,12 +299,12 @@ SELECT id, path, severity, (coalesce(commits, 0) + coalesce(fan_in, 0) + CASE WH
 ORDER BY category = 'parallel-implementations' DESC, priority DESC, CASE severity WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END DESC, id LIMIT 10""")
 def fix_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Large parts as findings; a top-ten report."""
-    part, commits = table(spark, sf_dir, "part"), _commits(spark, sf_dir)
+    part, commits = table(spark, sf_dir, "part"), materialize(_commits(spark, sf_dir), "commits")
     category = F.when(F.col("p_size") % 25 == 0, "parallel-implementations").otherwise("coupling")
     severity = F.when(F.col("p_size") >= 45, "high").when(F.col("p_size") >= 40, "medium").otherwise("low")
     found = part.where("p_size >= 35").select(F.concat(F.lit("PART-"), F.col("p_partkey").cast("string")).alias("id"), F.col("p_partkey").alias("path"), category.alias("category"), severity.alias("severity"))
     traffic = history.file_age(commits).join(history.churn(commits), "path", "left")
-    traffic = traffic.join(graph.fan_in(_edges(spark, sf_dir)).withColumnRenamed("dst", "path"), "path", "left")
+    traffic = traffic.join(graph.fan_in(_edges(commits)).withColumnRenamed("dst", "path"), "path", "left")
     return P.fix_first(found, traffic)
 
 
@@ -421,3 +421,91 @@ def documented_or_launched(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_with(I.EVIDENCE.sql) + ", r AS (SELECT *, list_position(['reason_to_change', 'co_change', 'static_structure'], kind) AS r FROM evidence) SELECT a, b, kind, bool_and(together) AS together FROM r WHERE r = (SELECT min(r) FROM r x WHERE x.a = r.a AND x.b = r.b) GROUP BY ALL")
 def strongest_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.strongest_evidence(I.EVIDENCE.df(spark))
+
+
+@query(_with(I.RUNS.sql) + "SELECT tier, status, count(*) AS tasks FROM (SELECT tier, task_id, status, row_number() OVER (PARTITION BY tier, task_id ORDER BY run DESC, attempt DESC) AS n FROM runs) WHERE n = 1 GROUP BY ALL")
+def resumed_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return state.task_status(I.RUNS.df(spark))
+
+
+@query(_with(I.RUNS.sql) + "SELECT tier, task_id FROM runs GROUP BY ALL HAVING arg_max(status, run) = 'skipped'")
+def gaps_after_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return state.gaps(I.RUNS.df(spark)).select("tier", "task_id")
+
+
+_OBJECT = r"(SELECT task_id, CASE WHEN contains(message, '{') THEN regexp_extract(message, '(?s)(\{.*\})', 1) END AS j FROM answers)"
+
+
+@query(_with(I.ANSWERS.sql) + f"""SELECT task_id, d->>'finding_id' AS finding_id, d->>'action' AS action, d->>'new_severity' AS new_severity, d->>'reason' AS reason FROM (SELECT task_id, unnest(json_extract(j, '$.decisions[*]')) AS d FROM {_OBJECT})
+WHERE d->>'finding_id' IS NOT NULL AND d->>'action' IN ('verify', 'merge', 'rerate', 'drop')""")
+def answered_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return state.answered_decisions(I.ANSWERS.df(spark)).select("task_id", "finding_id", "action", "new_severity", "reason")
+
+
+@query(_with(I.ANSWERS.sql) + f"""SELECT task_id, f->>'id' AS id, f->>'path' AS path, (f->>'line_lo')::INTEGER AS line_lo, f->>'severity' AS severity FROM (SELECT task_id, unnest(json_extract(j, '$.findings[*]')) AS f FROM {_OBJECT})
+WHERE f->>'path' IS NOT NULL AND f->>'severity' IN ('low', 'medium', 'high', 'critical')""")
+def answered_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return state.answered_findings(I.ANSWERS.df(spark)).select("task_id", "id", "path", "line_lo", "severity")
+
+
+FUNCTIONS = r"""sl AS (SELECT path, unnest(string_split(text, chr(10))) AS code, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM sources), sk AS (SELECT *, length(code) - length(ltrim(code)) AS indent FROM sl WHERE trim(code) <> ''),
+sd AS (SELECT path, regexp_extract(code, 'def\s+(\w+)', 1) AS name, line AS start, indent FROM sk WHERE regexp_matches(code, '^\s*def\s+\w+')),
+functions AS (SELECT path, name, start, (SELECT max(line) FROM sk k WHERE k.path = sd.path AND k.line < coalesce((SELECT min(line) FROM sk z WHERE z.path = sd.path AND z.line > sd.start AND z.indent <= sd.indent), 1000000)) - start + 1 AS lines FROM sd)"""
+
+
+@query(_with(I.SOURCES.sql, FUNCTIONS) + "SELECT path, name, start::BIGINT AS start, lines::BIGINT AS lines FROM functions")
+def source_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return definitions.definitions(I.SOURCES.df(spark)).select("path", "name", "start", "lines")
+
+
+_SIX = [*T.COUNTERS, "restated_comments", "long_functions"]
+_COUNTS = ", ".join(f"len(regexp_extract_all(text, '{p}')) AS {k}" for k, p in (("swallowed_catches", r"except[^:\n]*:\s*pass\b"), ("broad_catches", r"except\s*:|except\s+(Base)?Exception\b"), ("logging_calls", r"\b(log|logger|logging|console)\.\w+\s*\("), ("fallback_mentions", "(?i)fallback|best[- _]effort")))
+SIX = f"""{FUNCTIONS}, rn AS (SELECT *, lead(code) OVER (PARTITION BY path ORDER BY line) AS next FROM sl), rw AS (SELECT path, list_distinct(regexp_extract_all(lower(code), '[a-z]{{2,}}')) AS a, regexp_extract_all(lower(next), '[a-z]{{2,}}') AS b FROM rn WHERE regexp_matches(code, '^\\s*#') AND next IS NOT NULL),
+rc AS (SELECT path, count(*) AS restated_comments FROM rw WHERE len(a) > 0 AND len(list_intersect(a, b)) / len(a) >= 0.6 GROUP BY path), lf AS (SELECT path, count(*) AS long_functions FROM functions WHERE lines > 2 GROUP BY path),
+six AS (SELECT module, sum(loc)::BIGINT AS size, {", ".join(f"coalesce(sum({k}), 0) AS {k}" for k in _SIX)} FROM (SELECT module, loc, path, {_COUNTS} FROM sources) LEFT JOIN rc USING (path) LEFT JOIN lf USING (path) GROUP BY module)"""
+
+
+@query(_with(I.SOURCES.sql, SIX) + "SELECT module, size, " + ", ".join(f"round(coalesce({k} * 1000 / nullif(size, 0), 0), 6) AS {k}_rate" for k in _SIX) + " FROM six")
+def module_rates_six(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All six habits; functions of more than two lines count as long, as the inline sources are short."""
+    files = I.SOURCES.df(spark)
+    each = lambda rows, name: rows.groupBy("path").agg(F.count("*").alias(name))
+    counted = rates.counted(files, T.COUNTERS).join(each(rates.restated_comments(files), "restated_comments"), "path", "left")
+    counted = counted.join(each(definitions.long_functions(definitions.definitions(files), 2), "long_functions"), "path", "left")
+    return rates.module_rates(counted.fillna(0, _SIX), "module", _SIX, "loc")
+
+
+@query(_with(I.FILES.sql, I.IMPORTS.sql, I.ROOTS.sql, REACH) + """, l AS (SELECT path, CASE WHEN lang NOT IN ('python', 'javascript', 'typescript') THEN NULL WHEN bool_or(kind = 'launched') THEN 'launched' WHEN bool_or(kind = 'manual') THEN 'manual' WHEN bool_or(kind = 'tests') THEN 'tests' ELSE 'none' END AS reach FROM files LEFT JOIN r ON path = node GROUP BY path, lang),
+n AS (SELECT path AS subject, 'reach: ' || reach AS note FROM l WHERE reach IS NOT NULL UNION ALL SELECT dst, 'imported by ' || count(DISTINCT src) || ' files' FROM imports GROUP BY dst)
+SELECT subject, string_agg(note, chr(10) ORDER BY note) AS notes FROM n GROUP BY subject""")
+def prompt_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files, edges = I.FILES.df(spark), I.IMPORTS.df(spark)
+    return notes.by_file({"reach": graph.reach_labels(files, edges, I.ROOTS.df(spark)), "fan_in": graph.fan_in(edges)})
+
+
+@query(_with(I.CODE.sql, I.FILES.sql) + r""", s AS (SELECT DISTINCT path AS src, unnest(regexp_extract_all(text, '[''"]([\w./-]{3,})[''"]', 1)) AS name FROM code), k AS (SELECT path AS dst, path AS name FROM files UNION SELECT path, replace(regexp_replace(path, '\.\w+$', ''), '/', '.') FROM files)
+SELECT DISTINCT src, dst FROM s JOIN k USING (name) WHERE src <> dst""")
+def loads_in_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repository.string_loads(I.CODE.df(spark), I.FILES.df(spark))
+
+
+@query(_with(I.CODE.sql) + r""", l AS (SELECT path, unnest(string_split(text, chr(10))) AS code FROM code), p AS (SELECT path, regexp_extract(code, '^from\s+([.\w]+)', 1) AS base, regexp_extract(code, 'import\s+(\w+)', 1) AS name FROM l WHERE ends_with(path, '.py') AND regexp_matches(code, '^(from\s+\S+\s+)?import\s'))
+SELECT path AS src, name AS raw FROM p WHERE base = '' UNION SELECT path, unnest([base, base || '.' || name]) FROM p WHERE base <> '' UNION SELECT path, unnest(regexp_extract_all(text, '(from|import)\s+[''"]([^''"]+)[''"]', 2)) FROM code WHERE ends_with(path, '.ts')
+UNION SELECT path, unnest(regexp_extract_all(text, '#include [<"]([^>"]+)[>"]', 1)) FROM code WHERE ends_with(path, '.cpp')""")
+def extracted_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = I.CODE.df(spark).withColumn("lang", repository.language(F.col("path")))
+    return repository.imports(files).select("src", "raw")
+
+
+@query(_with(I.CONFIGS.sql) + r""", c AS (SELECT regexp_replace(path, '/?[^/]*$', '') AS scope, regexp_replace(regexp_replace(text, '("(\\.|[^"\\])*")|//[^\n]*|/\*.*?\*/', '\1', 'g'), ',(\s*[}\]])', '\1', 'g') AS j FROM configs WHERE regexp_matches(path, '[jt]sconfig[^/]*\.json$')), v AS (SELECT scope, CASE WHEN json_valid(j) THEN j END AS j FROM c),
+k AS (SELECT scope, coalesce(j->'compilerOptions'->>'baseUrl', '.') AS base, j->'compilerOptions'->'paths' AS p, unnest(json_keys(j->'compilerOptions'->'paths')) AS key FROM v)
+SELECT scope, rtrim(key, '*') AS prefix, regexp_replace(CASE WHEN scope = '' THEN '' ELSE scope || '/' END || base || '/' || rtrim(json_extract_string(p, '$."' || key || '"[0]'), '*'), '(^|/)(\./)+', '\1', 'g') AS target FROM k""")
+def alias_configs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repository.aliases_of(I.CONFIGS.df(spark))
+
+
+@query(_with(I.TREES.sql, I.CHANGES.sql) + r""", d AS (SELECT DISTINCT regexp_extract(path, '^(.*)/[^/]*$', 1) AS dir, regexp_extract(path, '([^/]*)$', 1) AS name FROM trees WHERE contains(path, '/')), t AS (SELECT *, regexp_extract(dir, '^(.*?)/?[^/]*$', 1) AS top FROM d),
+p AS (SELECT x.dir AS dir_a, y.dir AS dir_b, count(*) AS shared_names FROM t x JOIN t y ON x.top = y.top AND x.name = y.name AND x.dir < y.dir GROUP BY ALL HAVING count(*) >= 2), c AS (SELECT DISTINCT commit_id, regexp_extract(path, '^(.*)/[^/]*$', 1) AS dir FROM changes)
+SELECT dir_a, dir_b, shared_names, (SELECT count(*) FROM c u JOIN c w USING (commit_id) WHERE u.dir = dir_a AND w.dir = dir_b) AS together FROM p""")
+def parallel_directories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clones.parallel_trees(I.TREES.df(spark), I.CHANGES.df(spark))

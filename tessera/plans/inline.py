@@ -57,8 +57,8 @@ DEFINITIONS = Inline("definitions", "file string, name string", (("m.py", "open"
 LINKS = Inline("links", "file string, a string, b string", (("m.py", "open", "close"), ("m.py", "close", "read"), ("m.py", "parse", "render")))
 CALLS = Inline("calls", "file string, name string, caller string", (("m.py", "open", "x"), ("m.py", "read", "y"), ("m.py", "parse", "z"), ("m.py", "render", "w"), ("m.py", "lonely", "x")))
 FINDINGS = Inline("findings", "id string, path string, line_lo int, line_hi int, category string, severity string, effort string, cost string, text string", (
-    ("F-1", "src/stream.cpp", 2781, 2963, "coupling", "high", "large", "every fix needs three files", "shared runtime ownership is inferred from counters"),
-    ("F-2", "src/stream.cpp", 2781, 2963, "coupling", "medium", "small", "two owners", "ownership again"), ("F-3", "src/ab/x.cpp", 1, 20, "naming", "low", "small", "slow reading", "names differ"),
+    ("F-1", "src/queue.cpp", 310, 352, "coupling", "high", "large", "every fix needs three files", "two callers free one buffer by turns"),
+    ("F-2", "src/queue.cpp", 310, 352, "coupling", "medium", "small", "two owners", "the buffer again"), ("F-3", "src/ab/x.cpp", 1, 20, "naming", "low", "small", "slow reading", "names differ"),
     ("F-4", "app/api.py", 10, 40, "duplication", "medium", "large", "changes twice", "pasted from old_api"), ("F-5", "app/old_api.py", None, None, "parallel-implementations", "high", "large", "two generations", "rewrite left half done"),
     ("F-6", "tests/test_api.py", 1, 5, "duplication", "low", "small", "noise", "copied setup"), ("F-7", "tests/test_api.py", 7, 9, "coupling", "high", "small", "brittle", "reaches inside"),
     ("F-8", "app/util.py", 1, 60, "size", "medium", "small", "long", "long file"), ("F-9", "app/util.py", 3, 4, "errors", "critical", "small", "", "swallowed"), ("F-10", "app/main.py", 3, 4, "errors", "critical", "small", "lost faults", "swallowed error"),
@@ -68,7 +68,7 @@ DECISIONS = Inline("decisions", "finding_id string, tier string, action string,
     ("F-4", "editor", "drop", None, None, "two copies only"), ("F-5", "editor", "verify", None, None, None), ("F-7", "editor", "drop", None, None, "tests"), ("F-7", "appeal", "drop", None, None, "agreed"), ("F-3", "editor", "drop", None, None, "habit"),
 ))
 EXPECTED = Inline("expected", "path string, lines array<int>, category string, note string, keywords array<string>", (
-    ("src/stream.cpp", [2900, 3000], "coupling", "shared ownership", None), ("src/a", None, None, "must not match src/ab", None), ("app/", None, None, "copied api", ["pasted", "copied"]),
+    ("src/queue.cpp", [340, 400], "coupling", "one buffer", None), ("src/a", None, None, "must not match src/ab", None), ("app/", None, None, "copied api", ["pasted", "copied"]),
     ("src", None, "naming", "names", ["NAMES"]), ("app/api.py", [41, 50], None, "other lines", None), ("web", None, None, "nothing there", None), ("app/old_api.py", [1, 2], None, "no lines on the finding", None),
 ))
 CODE = Inline("code", "path string, text string", (
@@ -78,6 +78,22 @@ CODE = Inline("code", "path string, text string", (
 ))
 ALIASES = Inline("aliases", "scope string, prefix string, target string", (("", "@/", "src/"), ("web", "@/", "web/app/"), ("web/legacy", "@/", "web/legacy/app/"), ("web", "@/ui/", "web/kit/"), ("", "~lib/", "lib/")))
 RAW_IMPORTS = Inline("raw_imports", "src string, raw string", (("main.ts", "@/x"), ("web/a.ts", "@/x"), ("web/a.ts", "@/ui/button"), ("web/legacy/b.ts", "@/x"), ("web/legacy/b.ts", "~lib/y"), ("webx/c.ts", "@/x"), ("web/a.ts", "react")))
+RUNS = Inline("runs", "tier string, task_id string, run int, attempt int, status string", (("scout", "s1", 0, 3, "skipped"), ("scout", "s1", 1, 1, "done"), ("scout", "s2", 0, 3, "skipped"), ("scout", "s2", 1, 3, "skipped"), ("scout", "s3", 0, 1, "done"), ("editor", "e1", 0, 2, "done"), ("editor", "e2", 0, 1, "done"), ("editor", "e2", 1, 3, "skipped")))
+ANSWERS = Inline("answers", "task_id string, message string", (
+    ("e1", 'Here: {"decisions": [{"finding_id": "F-1", "action": "drop", "reason": "habit"}, {"finding_id": "F-2", "action": "burn"}, {"action": "drop"}]}'), ("e2", '{"decisions": [{"finding_id": "F-3", "action": "rerate", "new_severity": "low", "reason": "small"}], "summary": "s"}'),
+    ("s1", 'Done. {"findings": [{"id": "1", "path": "a.py", "line_lo": 3, "line_hi": 9, "severity": "high", "text": "t"}, {"id": "2", "severity": "high"}, {"id": "3", "path": "b.py", "severity": "dire"}, {"id": "4", "path": "c.py", "severity": "low"}]}'), ("s2", "no object at all"), ("s3", None),
+))
+SOURCES = Inline("sources", "path string, module string, lang string, loc long, text string", (
+    ("a/x.py", "a", "python", 9, "def one():\n    # add to the total\n    total = add(total)\n    return total\n\ndef two(a):\n    return a\n\nx = 1\n"),
+    ("a/y.py", "a", "python", 6, "class C:\n    def put(self):\n        try:\n            run()\n        except Exception:\n            pass\n"),
+    ("b/z.py", "b", "python", 3, "logger.info('fallback')\ndef three():\n    return 3\n"), ("b/e.py", "b", "python", 0, ""), ("b/n.py", "b", "python", 0, None),
+))
+TREES = Inline("trees", "path string", (("web/v1/a.ts",), ("web/v1/b.ts",), ("web/v1/index.ts",), ("web/v2/a.ts",), ("web/v2/b.ts",), ("web/v2/index.ts",), ("web/v3/index.ts",), ("lib/v1/a.ts",), ("lib/v1/b.ts",), ("top.ts",)))
+CHANGES = Inline("changes", "commit_id string, path string", (("1", "web/v1/a.ts"), ("1", "web/v2/b.ts"), ("2", "web/v1/a.ts"), ("3", "web/v2/a.ts"), ("3", "web/v1/b.ts"), ("3", "web/v1/a.ts"), ("4", "web/v3/index.ts")))
+CONFIGS = Inline("configs", "path string, text string", (
+    ("web/tsconfig.json", '{\n  // where things are\n  "compilerOptions": {"baseUrl": ".", "paths": {"@/*": ["app/*"], "~kit/*": ["kit/src/*", "kit/*"]}, /* more */ }\n}'), ("tsconfig.json", '{"compilerOptions": {"paths": {"lib/*": ["./shared/*"]}}}'),
+    ("old/jsconfig.json", '{"compilerOptions": {"baseUrl": "src", "paths": {"#/*": ["js/*"]}}}'), ("web/package.json", '{"compilerOptions": {"paths": {"no/*": ["no/*"]}}}'), ("bad/tsconfig.json", "no json"),
+))
 TASKS = Inline("tasks", "tier string, task_id string, attempt int, status string, tokens long", (("scout", "s1", 1, "failed", 10), ("scout", "s1", 2, "done", 20), ("scout", "s2", 3, "skipped", 30), ("editor", "e1", 1, "done", 5), ("scout", "s3", 1, "done", 7)))
 DOCUMENTED = Inline("documented", "path string", (("app/main.py",), ("app/old_api.py",)))
 EVIDENCE = Inline("evidence", "a string, b string, kind string, together boolean", (("x", "y", "static_structure", True), ("x", "y", "co_change", False), ("x", "z", "static_structure", True), ("u", "v", "reason_to_change", False), ("u", "v", "co_change", True)))

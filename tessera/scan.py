@@ -77,7 +77,7 @@ class Scan:
 
     def fingerprints(self) -> DataFrame:
         code = lambda: self.files().where(F.col("lang").isNotNull() & (F.col("lang") != "docs"))
-        return self.stage("fingerprints", lambda: clones.fingerprint_rows(code(), "path", code_text(F.col("text"), F.col("lang")), CODE_TOKENS))
+        return self.stage("fingerprints", lambda: clones.fingerprint_rows(code(), "path", code_text(F.col("text"), F.col("lang")), CODE_TOKENS, wide=False))
 
     def co_change(self) -> DataFrame:
         return self.stage("co_change", lambda: history.co_change(self.commits()))

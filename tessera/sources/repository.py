@@ -126,11 +126,11 @@ def imports(files: DataFrame) -> DataFrame:
     `from x import a, b` imports x, and x.a and x.b, which may be modules.
     """
     text = F.coalesce("text", F.lit(""))
-    python = F.regexp_extract_all(text, F.lit(r"(?m)^[ \t]*(?:from[ \t]+[.\w]+[ \t]+import[ \t]+\(?[\w, \t]+|import[ \t]+[\w., \t]+)"), F.lit(0))
+    python = F.regexp_extract_all(text, F.lit(r"(?m)^[ \t]*(?:from[ \t]+[.\w]+[ \t]+import[ \t]+(?:\([^)]*\)|[\w, \t]+)|import[ \t]+[\w., \t]+)"), F.lit(0))
     script = F.regexp_extract_all(text, F.lit(r"(?:from\s+|import\s+|require\(\s*|import\(\s*)['\"]([^'\"]+)['\"]"), F.lit(1))
     include = F.regexp_extract_all(text, F.lit(r"(?m)^\s*#\s*include\s*[\"<]([^\">]+)[\">]"), F.lit(1))
     base = lambda s: F.regexp_extract(s, r"^\s*from\s+([.\w]+)", 1)
-    names = lambda s: F.filter(F.transform(F.split(F.regexp_extract(s, r"import\s+\(?(.*)$", 1), ","), lambda n: F.regexp_extract(n, r"^\s*([.\w]+)", 1)), lambda n: n != "")
+    names = lambda s: F.filter(F.transform(F.split(F.regexp_replace(F.regexp_extract(s, r"(?s)import\s+\(?(.*)$", 1), r"#[^\n]*", ""), ","), lambda n: F.regexp_extract(n, r"^\s*([.\w]+)", 1)), lambda n: n != "")
     joined = lambda s: F.concat(F.array(base(s)), F.transform(names(s), lambda n: F.concat(base(s), F.when(base(s).endswith("."), "").otherwise("."), n)))
     spelled = F.flatten(F.transform(python, lambda s: F.when(base(s) == "", names(s)).otherwise(joined(s))))
     raw = F.when(F.col("lang") == "python", spelled).when(F.col("lang").isin("javascript", "typescript"), script).when(F.col("lang").isin("c", "cpp"), include)
@@ -138,11 +138,10 @@ def imports(files: DataFrame) -> DataFrame:
 
 
 def _plain(path: Column) -> Column:
-    """A path without ./ and with up to eight levels of dir/../ taken out."""
-    path = F.regexp_replace(path, r"(?:^|(?<=/))(?:\./)+", "")
-    for _ in range(8):
-        path = F.regexp_replace(path, r"(?:^|(?<=/))(?!\.\./)[^/]+/\.\./", "")
-    return path
+    """A path without ./ and with every dir/../ taken out; what leads above the root keeps its ../."""
+    up = lambda done: (F.size(done) > 0) & (F.coalesce(F.try_element_at(done, F.lit(-1)), F.lit("..")) != "..")
+    step = lambda done, part: F.when((part == ".") | (part == ""), done).when((part == "..") & up(done), F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.array_append(done, part))
+    return F.array_join(F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), step), "/")
 
 
 def edges(raw: DataFrame, files: DataFrame, aliases: DataFrame) -> DataFrame:
@@ -191,11 +190,18 @@ def resolve_aliases(raw: DataFrame, aliases: DataFrame) -> DataFrame:
     return rows.join(best, ["src", "raw"], "left")
 
 
+def without_comments(json: Column) -> Column:
+    """JSON as configurations write it, without comments and commas before a closing bracket; what stands in strings stays."""
+    string = r"(\"(?:[^\"\\]|\\.)*\")"
+    plain = F.regexp_replace(json, string + r"|//[^\n]*|/\*[\s\S]*?\*/", "$1")
+    return F.regexp_replace(plain, string + r"|,(?=\s*[}\]])", "$1")
+
+
 def aliases_of(files: DataFrame) -> DataFrame:
     """aliases(scope, prefix, target) from `paths` and `baseUrl` of tsconfig.json and jsconfig.json, and `alias` of bundler configurations."""
     scope = F.regexp_extract("path", r"^(.*?)/?[^/]*$", 1)
     shape = T.StructType([T.StructField("compilerOptions", T.StructType([T.StructField("baseUrl", T.StringType()), T.StructField("paths", T.MapType(T.StringType(), T.ArrayType(T.StringType())))]))])
-    ts = files.where(F.col("path").rlike(r"(?:^|/)[jt]sconfig[^/]*\.json$")).select(scope.alias("scope"), F.from_json("text", shape).alias("c"))
+    ts = files.where(F.col("path").rlike(r"(?:^|/)[jt]sconfig[^/]*\.json$")).select(scope.alias("scope"), F.from_json(without_comments(F.col("text")), shape).alias("c"))
     ts = ts.select("scope", F.coalesce("c.compilerOptions.baseUrl", F.lit(".")).alias("base"), F.explode("c.compilerOptions.paths").alias("k", "v"))
     ts = ts.select("scope", F.rtrim("k", F.lit("*")).alias("prefix"), F.concat_ws("/", "base", F.rtrim(F.element_at("v", 1), F.lit("*"))).alias("to"))
     bundler = files.where(F.col("path").rlike(r"(?:^|/)(?:vite|webpack|rollup|nuxt|astro)\.config\.[cm]?[jt]s$"))

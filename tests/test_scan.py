@@ -306,3 +306,24 @@ def test_prompts_carry_the_evidence_of_their_tier(spark, tmp_path):
     report = (work / "report.md").read_text()
     assert "All is well enough." in report and "## Fix first" in report and "long_functions at" in report
     assert {c for c in scan.inventory()["rates"].columns if c.endswith("_rate")} == {f"{c}_rate" for c in ("swallowed_catches", "broad_catches", "logging_calls", "fallback_mentions", "restated_comments", "long_functions")}
+
+
+def test_configurations_with_comments_long_imports_and_deep_paths(spark):
+    from pyspark.sql import Row
+
+    python = "from pkg.mod import (\n    one,  # first\n    two,\n)\nfrom pkg import three\n"
+    files = S.described(spark.createDataFrame([("a/x.py", python), ("w/tsconfig.json", '{ // c\n "compilerOptions": {"paths": {"@/*": ["app/*"],}, "baseUrl": "."} /* "x" */ }')], "path string, text string"))
+    assert {r.raw for r in S.imports(files).collect()} == {"pkg.mod", "pkg.mod.one", "pkg.mod.two", "pkg", "pkg.three"}
+    assert [tuple(r) for r in S.aliases_of(files).collect()] == [("w", "@/", "w/app/")]
+    deep = "/".join("abcdefghijkl")
+    paths = {deep + "/../" * 1 + "m": "a/b/c/d/e/f/g/h/i/j/k/m", deep + "/.." * 12 + "/x.py": "x.py", "../a/./b": "../a/b", "a//b": "a/b", "../../x": "../../x", "a/../../x": "../x"}
+    rows = spark.createDataFrame([Row(p=p) for p in paths]).select("p", S._plain(F.col("p")).alias("q")).collect()
+    assert {r.p: r.q for r in rows} == paths
+
+
+def test_comments_and_strings_by_language(spark):
+    from tessera.functions.text import code_text
+
+    rows = spark.createDataFrame([("python", "a // b + c"), ("javascript", "x = 'http://x.org/a' + y // z"), ("javascript", "a # b"), ("python", "s = '# no' # yes"), (None, None)], "lang string, text string")
+    got = [" ".join(r.t.split()) for r in rows.select(code_text(F.col("text"), F.col("lang")).alias("t")).collect()]
+    assert got == ["a // b + c", "x = STR + y", "a # b", "s = STR", ""]
