@@ -164,12 +164,14 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col:
     """A model from a bounded sample of labelled rows: the max_rows labels whose ids have the least hash.
 
     That many ids are broadcast to the documents, and their statistics (ten numbers a row) come to
-    the driver.  Null labels and ids are left out; an id with several labels gives several rows.
+    the driver, max_rows of them at most however often documents repeat an id.  Null labels and ids are left out;
+    an id with several labels gives several rows.
     """
     some = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_label"))
     some = some.orderBy(F.xxhash64("_id"), "_id", "_label").limit(max_rows)
     found = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(some), "_id")
     measured = found.select("_id", "_label", *(c.alias(k) for k, c in statistics(F.col("_text")).items()))
+    measured = measured.orderBy(F.xxhash64("_id"), *measured.columns).limit(max_rows)
     rows = sorted(map(tuple, measured.collect()))
     x = np.array([r[2:] for r in rows], dtype=float).reshape(-1, len(NAMES))
     return fit_rules(x, np.array([r[1] for r in rows], dtype=float), **how)

@@ -156,6 +156,14 @@ def _keyed(fps: DataFrame, masks: list[int]) -> DataFrame:
     return fps.select("fp", F.explode(keys).alias("x")).select(F.col("x.t").alias("x_t"), F.col("x.k").alias("x_k"), "fp")
 
 
+def _finer_blocks(free: list[int], distance: int) -> int:
+    """The fewest parts of some bits of which the `distance` largest, those that a key leaves free, have at most 16."""
+    blocks = distance + 1
+    while sum(sorted(map(len, _parts(free, blocks)))[-distance:]) > 16:
+        blocks += 1
+    return blocks
+
+
 def close_links(fps: DataFrame, distance: int = 3, blocks: int | None = None, most: int = BUCKET_ROWS) -> DataFrame:
     """(a, b) links that join every connected group of the distinct long column `fp`; blocks are counted out if not given."""
     blocks = blocks or fewest_blocks(fps.count(), distance)
@@ -168,7 +176,7 @@ def close_links(fps: DataFrame, distance: int = 3, blocks: int | None = None, mo
     finer = []
     for mask in masks:
         free = [b for b in range(64) if not (mask >> b) & 1]
-        finer.append(F.array(*map(F.lit, block_masks(max(distance + 1, -(-distance * len(free) // 16)), distance, free))).cast("array<long>"))
+        finer.append(F.array(*map(F.lit, block_masks(_finer_blocks(free, distance), distance, free))).cast("array<long>"))
     again = keyed.join(crowded, ["x_t", "x_k"]).select("x_t", "x_k", "fp", F.posexplode(F.get(F.array(*finer), F.col("x_t"))).alias("y_t", "mask"))
     again = again.select("x_t", "x_k", "y_t", F.col("fp").bitwiseAND(F.col("mask")).alias("y_k"), "fp")
     return links.unionByName(_links(again, ["x_t", "x_k", "y_t", "y_k"], distance, None)[0])

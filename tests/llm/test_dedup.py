@@ -174,3 +174,11 @@ def test_exact_groups_take_their_own_output(spark, odd, how):
     pick = ["doc_id", "text", "_keep_id", "_group_size", "_kept", "_KEY", "_n", "_of"]
     assert sorted(map(repr, once.select(pick).collect())) == sorted(map(repr, again.select(pick).collect()))
     assert {r["_n"] for r in again.collect()} == {"x"}
+
+
+@pytest.mark.parametrize("blocks", [4, 5, 6, 7])
+def test_finer_keys_leave_at_most_sixteen_bits(blocks):
+    for mask in simhash.block_masks(blocks, 3):
+        free = [b for b in range(64) if not (mask >> b) & 1]
+        for finer in simhash.block_masks(simhash._finer_blocks(free, 3), 3, free):
+            assert len(free) - (finer & (1 << 64) - 1).bit_count() <= 16

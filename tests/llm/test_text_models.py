@@ -144,3 +144,12 @@ def test_quality_accuracy_on_held_out_documents(spark):
     rows = quality.scored(docs.where(held), model).join(labels, "doc_id")
     right = rows.select(F.avg(((F.col("_score") >= 0.3).cast("int") == F.col("quality")).cast("double")))
     assert right.first()[0] > 0.97
+
+
+def test_fitting_collects_no_more_rows_than_it_says(spark, monkeypatch):
+    docs = spark.range(500).selectExpr("1L AS doc_id", "concat('text ', id) AS text")
+    labels = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
+    seen = []
+    monkeypatch.setattr(quality, "fit_rules", lambda x, y, **how: seen.append(len(x)))
+    quality.fit(docs, labels, max_rows=10)
+    assert seen == [10]
