@@ -41,8 +41,8 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_token_counts(spark: SparkSession, sf_dir: str, path: str | None = None, limit: int = 512) -> DataFrame:
     small_batches(spark)
-    count = transducer.token_counts(F.col("text"), path or public_tokenizers.path("byte_bpe_50k.json"))
-    rows = _texts(spark, sf_dir).select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), count.alias("n_tokens"))
+    rows = transducer.count_tokens(_texts(spark, sf_dir), path or public_tokenizers.path("byte_bpe_50k.json"))
+    rows = rows.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), F.col("_n_tokens").alias("n_tokens"))
     return rows.withColumn("over_limit", F.col("n_tokens") > limit)
 
 

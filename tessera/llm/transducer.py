@@ -11,11 +11,14 @@ Two deterministic machines are compiled from the tokenizer file.
   one may follow what is before it.  Equal states are merged and built when first reached; the
   table is dropped when it has `max_states`, as lazy automata do.
 
-Wherever a character that is not white space is followed by one that is, both machines return to
-their start whatever they have read.  A chunk of text is therefore a map that needs only what is
-before its first and after its last such place: `Chunk` holds that, `Chunk.then` composes two of
-them, and `scan` composes all chunks of a text pairwise.  Segments between such places map start to
-start with a constant count, and those of ordinary length are remembered, in a bounded table.
+Long texts are cut into chunks, which are rows of their own.  Both machines return to their start
+whatever they have read where white space follows a word and where the class of characters changes,
+so a chunk that begins at such a place has a map of one entry.  Where a chunk has to begin inside a
+run of one class the state before it is unknown: its map then goes from each state that a run from
+some place before it leads to, to the state at its end and the count on the way; states that meet
+go on as one.  `compose` puts neighbouring maps together, many at a time and in rounds, as the
+upward half of a prefix scan; only the total is wanted.  A text whose true state is in no map is
+counted from its start instead, so counts are exact in every case.
 """
 
 from __future__ import annotations
@@ -23,19 +26,26 @@ from __future__ import annotations
 import json
 import re
 import sys
-from dataclasses import dataclass
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import Column, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 from tokenizers import pre_tokenizers
 
+from tessera.llm.rows import set_aside
+from tessera.session import broadcast_if, materialize
+
 #: White space as the word pattern's library sees it.
 SPACES = r"\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: The endings that the word pattern cuts off after an apostrophe.
 ENDINGS = ("s", "t", "re", "ve", "m", "ll", "d")
-CHUNK = 1 << 16
+CHUNK = 1 << 16  # characters of a row of a long text
+PART = 64  # chunks that are cut out of a text together
+BACK, WINDOW, INSIDE = 1024, 128, 8  # characters: seen before a chunk; on each side of a border; of one class around a cut in a run
+PHASES = 128  # places that guesses start from
+TOGETHER = 64  # maps composed by one row
 REMEMBERED = 64
+START = "0,-1,0"
 
 
 @lru_cache(1)
@@ -139,12 +149,31 @@ class Bpe:
         state.next[byte] = found = (following, delta)
         return found
 
-    def count(self, data: bytes) -> int:
-        state, total = self.start, 0
+    def walk(self, state: State, data: bytes) -> tuple[State, int]:
+        total = 0
         for byte in data:
             state, delta = state.next.get(byte) or self._step(state, byte)
             total += delta
-        return total
+        return state, total
+
+    def walk_all(self, states: list[State], data: bytes) -> list[tuple[State, int]]:
+        """The walk from each of the states; those that have come to the same state go on as one."""
+        at, totals, owner = list(states), [0] * len(states), list(range(len(states)))
+        ahead = [0] * len(states)  # of the owner's total
+        for i in range(0, len(data), 64):
+            part, seen = data[i : i + 64], {}
+            for k in sorted(set(owner)):
+                at[k], n = self.walk(at[k], part)
+                totals[k] += n
+                first = seen.setdefault(at[k].ends, k)
+                if first != k:
+                    for j, o in enumerate(owner):
+                        if o == k:
+                            owner[j], ahead[j] = first, ahead[j] + totals[k] - totals[first]
+        return [(at[o], totals[o] + ahead[j]) for j, o in enumerate(owner)]
+
+    def count(self, data: bytes) -> int:
+        return self.walk(self.start, data)[1]
 
 
 class Splitter:
@@ -194,31 +223,6 @@ class Splitter:
         return out
 
 
-@dataclass(frozen=True)
-class Chunk:
-    """A stretch of text as a map: head and tail are open, `inner` counts what lies between.
-
-    Without a place where the machines restart, all is head and tail is None.
-    """
-
-    head: str
-    inner: int = 0
-    tail: str | None = None
-
-    def then(self, other: Chunk, counter: Counter) -> Chunk:
-        if self.tail is None and other.tail is None:
-            return counter.chunk(self.head + other.head, len(self.head))
-        if self.tail is None:
-            seam = counter.chunk(self.head + other.head, len(self.head))
-            return Chunk(seam.head, other.inner + (seam.inner + counter.segments(seam.tail) if seam.tail is not None else 0), other.tail)
-        seam = counter.chunk(self.tail + other.head, len(self.tail))
-        if other.tail is None:
-            if seam.tail is None:
-                return Chunk(self.head, self.inner, seam.head)
-            return Chunk(self.head, self.inner + counter.segments(seam.head) + seam.inner, seam.tail)
-        return Chunk(self.head, self.inner + counter.segments(self.tail + other.head) + other.inner, other.tail)
-
-
 class Counter(dict):
     """Counts tokens of texts.  As a mapping: segment -> count, of the last max_segments to twice as many."""
 
@@ -239,7 +243,9 @@ class Counter(dict):
         self.known: dict[str, int] = {}
         self.parts = re.compile(f"([{SPACES}]*)([^{SPACES}]*)")
         self.find = re.compile(f"[{SPACES}]*[^{SPACES}]+|[{SPACES}]+").findall
-        self.restart = re.compile(f"(?<=[^{SPACES}])(?=[{SPACES}])")
+        self.space = re.compile(f"[{SPACES}]").match
+        if any(len(t) > WINDOW // 2 for t in self.special):
+            raise ValueError(f"special tokens may have {WINDOW // 2} characters")
 
     def __missing__(self, segment: str) -> int:
         count = self.older.get(segment)
@@ -267,32 +273,99 @@ class Counter(dict):
     def segments(self, text: str) -> int:
         return sum(map(self.__getitem__, self.find(text)))
 
-    def chunk(self, text: str, at: int | None = None) -> Chunk:
-        """The map of a text; `at`: only there can it have a restart."""
-        if at is not None:
-            found = self.restart.match(text, at)
-            return Chunk(text[:at], 0, text[at:]) if found else Chunk(text)
-        first = self.restart.search(text)
-        if not first:
-            return Chunk(text)
-        last = len(text) - next(m.start() for m in re.finditer(f"[{SPACES}](?=[^{SPACES}])|[{SPACES}]$", text[::-1])) - 1
-        while last > 0 and not self.restart.match(text, last):
-            last -= 1
-        return Chunk(text[: first.start()], self.segments(text[first.start() : last]), text[last:])
-
     def count(self, text: str | None) -> int:
         if not text:
             return 0
         plain = self.cut.split(text) if self.cut else [text]
-        return len(plain) - 1 + sum(self.segments(p) if len(p) <= CHUNK else scan([self.chunk(p[i : i + CHUNK]) for i in range(0, len(p), CHUNK)], self) for p in plain)
+        return len(plain) - 1 + sum(map(self.segments, plain))
 
+    def _class(self, char: str) -> str:
+        return "S" if self.space(char) else self.splitter.kind(char)
 
-def scan(chunks: list[Chunk], counter: Counter) -> int:
-    """Composes neighbours until one map is left, then applies it to the start of a text."""
-    while len(chunks) > 1:
-        chunks = [a.then(b, counter) for a, b in zip(chunks[::2], chunks[1::2], strict=False)] + chunks[len(chunks) // 2 * 2 :]
-    whole = chunks[0]
-    return counter.segments(whole.head) + whole.inner + (counter.segments(whole.tail) if whole.tail is not None else 0)
+    def border(self, around: str) -> tuple[int, bool] | None:
+        """Where to cut, from WINDOW characters on each side: place, and whether the machines restart there.
+
+        None if no place will do.  Both neighbours see the same characters and so agree.
+        """
+        special = []
+        for name in self.special:
+            at = around.find(name)
+            while at >= 0:
+                special.append((at, at + len(name)))
+                at = around.find(name, at + 1)
+        edges = {p for a, b in special if not any(a < d and c < b and (a, b) != (c, d) for c, d in special) for p in (a, b)}
+        kinds = [self._class(c) for c in around]
+        places = range(WINDOW // 2, min(len(around) - INSIDE, WINDOW + WINDOW // 2))
+        for p in places:
+            # An ending is the only piece of two classes, and it has its apostrophe first.
+            apart = kinds[p - 1] not in ("S", kinds[p]) and not (kinds[p] == "L" and around[p - 1] == "'")
+            if (apart or p in edges) and not any(a < p < b for a, b in special):
+                return p, True
+        for p in places:
+            if len(set(kinds[p - INSIDE : p + INSIDE])) == 1 and not any(a < p + INSIDE and p - INSIDE < b for a, b in special):
+                return p, False
+        return None
+
+    def _run(self, text: str, start: int = 0) -> int:
+        """Where the run of one class that has `start` in it ends."""
+        kind, end = self._class(text[start]), start + 1
+        while end < len(text) and self._class(text[end]) == kind:
+            end += 1
+        return end
+
+    def _guesses(self, before: str) -> list[State]:
+        """States that the end of `before`, inside a run, may be in: those of runs from places before it."""
+        kind, first = self._class(before[-1]), len(before) - 1
+        while first and self._class(before[first - 1]) == kind:
+            first -= 1
+        far = max(first, len(before) - BACK // 2)
+        starts = {first, max(0, first - 1), *range(first, min(first + 3, len(before))), *range(far, min(far + PHASES, len(before)))}
+        found = {}
+        for at in sorted(starts):
+            state = self.bpe.walk(self.bpe.start, before[at:].encode("utf-8", "replace"))[0]
+            found[state.ends] = state
+        return list(found.values())
+
+    def state_map(self, window: str, lead: int, last: bool, chunk: int) -> dict[tuple[int, ...], tuple[tuple[int, ...], int]]:
+        """State before a chunk -> state after it and the count; without an entry for states that nothing led to.
+
+        The chunk has nominally `chunk` characters after the first `lead` of the window; WINDOW
+        more follow it unless it is the last of its text.
+        """
+        begin, entered, end, closed = 0, True, len(window), True
+        if lead:
+            place = self.border(window[lead - WINDOW : lead + WINDOW])
+            if place is None:
+                return {}
+            begin, entered = lead - WINDOW + place[0], place[1]
+        if not last:
+            place = self.border(window[lead + chunk - WINDOW : lead + chunk + WINDOW])
+            if place is None:
+                return {}
+            end, closed = lead + chunk - WINDOW + place[0], place[1]
+        bpe, content = self.bpe, window[begin:end]
+        plain = self.cut.split(content) if self.cut else [content]
+        run, through = "", False
+        if not entered and plain[0]:
+            to = self._run(plain[0])
+            through = to == len(content) and not closed
+            if to < len(plain[0]) and self.space(plain[0][0]):
+                to -= 1  # the last space belongs to what follows
+            run, plain[0] = plain[0][:to], plain[0][to:]
+        total, after = len(plain) - 1 + sum(map(self.segments, plain[:-1])), bpe.start
+        if closed or through:
+            total += self.segments(plain[-1])
+        else:
+            *whole, open_ = self.find(plain[-1])
+            *pieces, tail = self.splitter.pieces(*self.parts.match(open_).groups())
+            total += sum(map(self.__getitem__, whole)) + sum(map(self._count, pieces))
+            after, n = bpe.walk(bpe.start, tail.encode("utf-8", "replace"))
+            total += n
+        if entered:
+            return {bpe.start.ends: (after.ends, total)}
+        guesses = self._guesses(window[:begin])
+        ways = bpe.walk_all(guesses, run.encode("utf-8", "replace"))
+        return {g.ends: ((state if through else after).ends, n + total) for g, (state, n) in zip(guesses, ways, strict=True)}
 
 
 @lru_cache(2)
@@ -315,3 +388,92 @@ def token_counts(text: Column, path: str) -> Column:
         return pa.array((counter.count(t.as_py()) for t in texts), type=pa.int64())
 
     return counted(text)
+
+
+def _windows(text: Column, chunk: int) -> Column:
+    """(index, window, lead, last) of each chunk.
+
+    Cut in two steps, as finding a place in a text takes time in proportion to it.
+    """
+    n, size = F.length(text), chunk * PART
+    cut = lambda t, begin, end: F.substring(t, begin + 1, end - begin)
+    last = F.floor((n - 1) / chunk).cast("int")
+
+    def part(k: Column) -> Column:
+        base = F.greatest(k * size - BACK, F.lit(0))
+        own = F.array(F.struct(cut(text, base, (k + 1) * size + WINDOW).alias("t")))
+
+        def window(i: Column, t: Column) -> Column:
+            begin = F.greatest(i * chunk - BACK, F.lit(0))
+            return F.struct(i.alias("index"), cut(t, begin - base, (i + 1) * chunk + WINDOW - base).alias("window"), (i * chunk - begin).alias("lead"), (i == last).alias("last"))
+
+        return F.flatten(F.transform(own, lambda o: F.transform(F.sequence(k * PART, F.least((k + 1) * PART - 1, last)), lambda i: window(i, o["t"]))))
+
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.floor((n - 1) / size).cast("int")), part))
+
+
+MAP = T.ArrayType(T.StructType([T.StructField("enter", T.StringType()), T.StructField("leave", T.StringType()), T.StructField("n", T.LongType())]))
+
+
+def chunk_maps(texts: DataFrame, spec: str, chunk: int = CHUNK) -> DataFrame:
+    """(hash, index, map) of the chunks of texts (hash, text): chunks are dealt to all tasks."""
+
+    @F.arrow_udf(MAP)
+    def mapped(window: pa.Array, lead: pa.Array, last: pa.Array) -> pa.Array:
+        counter, name = compiled(spec), lambda ends: ",".join(map(str, ends))
+        rows = zip(window, lead, last, strict=True)
+        maps = [counter.state_map(w.as_py(), a.as_py(), z.as_py(), chunk) for w, a, z in rows]
+        return pa.array([[{"enter": name(a), "leave": name(b), "n": n} for a, (b, n) in m.items()] for m in maps], type=pa.list_(pa.struct([("enter", pa.string()), ("leave", pa.string()), ("n", pa.int64())])))
+
+    rows = texts.select("hash", F.explode(_windows(F.col("text"), chunk)).alias("c")).select("hash", "c.*")
+    rows = rows.repartition(F.col("hash"), F.col("index"))
+    return rows.select("hash", "index", mapped("window", "lead", "last").alias("map"))
+
+
+def compose(maps: DataFrame, most: int) -> DataFrame:
+    """(hash, map) of whole texts from maps of at most `most` neighbouring chunks each; TOGETHER of them meet in a row each round."""
+
+    def then(a: Column, b: Column) -> Column:
+        step = lambda e, f: F.struct(e["enter"].alias("enter"), f["leave"].alias("leave"), (e["n"] + f["n"]).alias("n"))
+        return F.flatten(F.transform(a, lambda e: F.transform(F.filter(b, lambda f: f["enter"] == e["leave"]), lambda f: step(e, f))))
+
+    while most > 1:
+        grouped = maps.groupBy("hash", F.floor(F.col("index") / TOGETHER).alias("above")).agg(F.array_sort(F.collect_list(F.struct("index", "map"))).alias("m"))
+        every = F.transform("m", lambda x: x["map"])
+        maps = grouped.select("hash", F.col("above").alias("index"), F.aggregate(F.slice(every, F.lit(2), F.size("m")), F.element_at(every, 1), then).alias("map"))
+        most = -(-most // TOGETHER)
+    return maps.select("hash", "map")
+
+
+def count_tokens(docs: DataFrame, path: str, text_col: str = "text", chunk: int = CHUNK, broadcast_rows: int = 1_000_000) -> DataFrame:
+    """docs, all columns, with _n_tokens: tokens of each whole text as a long.
+
+    Texts of at most `chunk` characters are counted where they are.  Longer ones are counted once
+    for all copies, by the maps of their chunks; those whose maps do not meet are counted from
+    their start.  0 for null and empty texts; rows that repeat stay; an empty table gives an empty
+    result; an input column _n_tokens is replaced.
+    """
+    if chunk < BACK:
+        raise ValueError(f"chunks have at least {BACK} characters")
+    with open(path, encoding="utf-8") as f:
+        spec = f.read()
+    docs, restored = set_aside(docs, ("_text_hash",), ("_n_tokens",), text_col)
+    text, names = F.col(f"`{text_col}`"), [F.col(f"`{c}`") for c in docs.columns]
+    is_long = F.coalesce(F.length(text), F.lit(0)) > chunk
+    short = docs.where(~is_long).select(*names, token_counts(text, path).alias("_n_tokens"))
+    long = docs.where(is_long).withColumn("_text_hash", F.sha2(text, 256))
+    distinct = long.select(F.col("_text_hash").alias("hash"), F.length(text).alias("n"))
+    most = distinct.agg(F.max("n")).first()[0]
+    if most is None:
+        return restored(short)
+    maps = chunk_maps(long.select(F.col("_text_hash").alias("hash"), text.alias("text")), spec, chunk).dropDuplicates(["hash", "index"])
+    whole = F.filter("map", lambda e: e["enter"] == START)
+    counts = compose(maps, -(-most // chunk)).select(F.col("hash").alias("_text_hash"), F.try_element_at(whole, F.lit(1))["n"].alias("_n_tokens"))
+    counts = materialize(counts, "long-texts")
+    lost = counts.where("_n_tokens is null").select("_text_hash")
+    if not lost.isEmpty():
+        again = long.join(broadcast_if(lost, broadcast_rows), "_text_hash", "left_semi")
+        again = again.select("_text_hash", token_counts(text, path).alias("_n_tokens")).groupBy("_text_hash").agg(F.max("_n_tokens").alias("_n_tokens"))
+        counts = materialize(counts.where("_n_tokens is not null").unionByName(again), "long-texts")
+    found = long.join(broadcast_if(counts, broadcast_rows), "_text_hash").select(*names, "_n_tokens")
+    return restored(short.unionByName(found))

@@ -35,13 +35,51 @@ def test_counts_are_the_librarys(counter, tokenizer):
     assert counter.count(None) == counter.count("") == 0
 
 
-def test_chunks_compose_wherever_they_are_cut(counter, tokenizer):
-    for text in texts(1500, 30, 2):
-        for size in (1, 3, 7):
-            chunks = [counter.chunk(text[i : i + size]) for i in range(0, len(text), size)]
-            plain = len(text) and "<|endoftext|>" not in text
-            if plain:
-                assert transducer.scan(chunks, counter) == len(tokenizer.encode(text, add_special_tokens=False).ids), (text, size)
+def composed(counter, text, chunk):
+    """The count that the chunks' maps give together; None if the true state is in no map."""
+    state, total = counter.bpe.start.ends, 0
+    for i in range(0, len(text), chunk):
+        begin = max(0, i - transducer.BACK)
+        m = counter.state_map(text[begin : i + chunk + transducer.WINDOW], i - begin, i + chunk >= len(text), chunk)
+        if state not in m:
+            return None
+        state, n = m[state]
+        total += n
+    return total
+
+
+def long_texts(n, seed=2):
+    random.seed(seed)
+    for _ in range(n):
+        parts = random.sample(PARTS, random.randint(1, 4))
+        yield "".join(random.choice(parts) * random.choice((1, 3, 40, 700)) for _ in range(random.randint(2, 30)))
+    for _ in range(n):
+        yield "".join(random.choice("etaoinshrdlu") for _ in range(random.randint(2000, 9000)))
+
+
+def test_state_maps_of_chunks_compose(counter, tokenizer):
+    met = lost = 0
+    for text in long_texts(60):
+        n = len(tokenizer.encode(text, add_special_tokens=False).ids)
+        for chunk in (1024, 1500):
+            got = composed(counter, text, chunk)
+            assert got in (None, n), text
+            met, lost = met + (got is not None), lost + (got is None)
+    assert met > 20 * lost
+
+
+def test_long_texts_by_rows_of_chunks(spark, tokenizer):
+    some = [(i, t) for i, t in enumerate([*long_texts(8, 7), "a" * 140_000, "word " * 30_000, "word " * 30_000, "\n" * 5000 + "x", None, ""])]
+    out = transducer.count_tokens(spark.createDataFrame(some, "doc_id int, text string").withColumn("_text_hash", F.lit("x")).withColumn("hash", F.lit("y")).withColumn("n", F.lit("z")), BPE, chunk=1024)
+    assert out.columns == ["doc_id", "text", "_text_hash", "hash", "n", "_n_tokens"]
+    assert {r.doc_id: r._n_tokens for r in out.collect()} == {i: len(tokenizer.encode(t or "", add_special_tokens=False).ids) for i, t in some}
+
+
+def test_texts_whose_maps_do_not_meet_are_counted_whole(spark, tokenizer, monkeypatch):
+    text = "some words " * 2000
+    monkeypatch.setattr(transducer, "compose", lambda maps, most: maps.groupBy("hash").agg(F.first("map").alias("map")).withColumn("map", F.slice("map", 1, 0)))
+    out = transducer.count_tokens(spark.createDataFrame([(1, text), (2, text)], "doc_id int, text string"), BPE, chunk=1024).collect()
+    assert [r._n_tokens for r in out] == 2 * [len(tokenizer.encode(text, add_special_tokens=False).ids)]
 
 
 def test_bounded_tables_do_not_change_counts(tokenizer):
