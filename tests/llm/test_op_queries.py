@@ -1,13 +1,16 @@
 """The registered queries over whole tables, against plain Python."""
 
 import hashlib
+import itertools
 import re
 import zlib
+from html.parser import HTMLParser
 
 import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
+import xxhash
 from tokenizers import Tokenizer
 
 from tessera.llm import queries, simhash
@@ -44,6 +47,59 @@ def test_op1(spark):
         assert re.findall(r"[^\W\d_]+", r.text) == words and r.n_chars == len(r.text) and r.url == pages[r.page_id].url
 
 
+class Article(HTMLParser):
+    """The blocks of an article element, by the standard library's parser."""
+
+    INLINE = {"b", "i", "em", "strong", "a", "span", "code", "sup", "sub", "u", "small"}
+
+    def __init__(self, html):
+        super().__init__(convert_charrefs=True)
+        self.inside, self.silent, self.blocks = 0, 0, [""]
+        self.feed(html)
+        self.close()
+
+    def handle_starttag(self, tag, attrs):
+        self.inside += tag == "article"
+        self.silent += tag in ("script", "style")
+        if tag not in self.INLINE:
+            self.blocks.append("")
+
+    def handle_endtag(self, tag):
+        self.inside -= tag == "article"
+        self.silent -= tag in ("script", "style")
+        if tag not in self.INLINE:
+            self.blocks.append("")
+
+    def handle_data(self, data):
+        if self.inside and not self.silent:
+            self.blocks[-1] += data
+
+    def text(self):
+        return "\n".join(filter(None, (" ".join(b.split()) for b in self.blocks)))
+
+
+@pytest.mark.parametrize("sf", [SF, "/root/testdata/sf0.01"])
+def test_op1_is_the_articles_text_by_another_parser(spark, sf):
+    pages = {r.page_id: r.html for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
+    wrong = [r.page_id for r in queries.op1_html_extraction(spark, sf).collect() if r.text != Article(pages[r.page_id]).text()]
+    assert not wrong
+
+
+def test_op3_against_all_keys_in_order(spark):
+    sf = "/root/testdata/sf0.01"
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    key = {i: (xxhash.xxh64_intdigest(t.encode(), 42), xxhash.xxh64_intdigest(i.to_bytes(8, "little", signed=True), 42)) for i, t in texts.items()}
+    out = sorted(queries.op3_sharding(spark, sf).collect(), key=lambda r: (r.shard, r.slot))
+    assert [r.doc_id for r in out] == sorted(texts, key=key.get)
+    assert [r.slot for r in out] == [n for _, rows in itertools.groupby(out, lambda r: r.shard) for n, _ in enumerate(rows)]
+    share = sum(r.size for r in out) / 8
+    below = [0, *itertools.accumulate(r.size for r in out)]
+    for shard in range(1, 8):
+        border = below[sum(r.shard < shard for r in out)]
+        nearest = min(abs(b - shard * share) for b in below)
+        assert abs(border - shard * share) <= max(nearest, 0.01 * share)
+
+
 def test_op3(spark, docs):
     out = rows(spark, "op3_sharding", docs)
     total = [0] * 8
