@@ -509,3 +509,20 @@ p AS (SELECT x.dir AS dir_a, y.dir AS dir_b, count(*) AS shared_names FROM t x J
 SELECT dir_a, dir_b, shared_names, (SELECT count(*) FROM c u JOIN c w USING (commit_id) WHERE u.dir = dir_a AND w.dir = dir_b) AS together FROM p""")
 def parallel_directories(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clones.parallel_trees(I.TREES.df(spark), I.CHANGES.df(spark))
+
+
+@query(_with(I.PACKAGES.sql) + r""", f AS (SELECT path, text, regexp_extract(path, '^(.*?)/?[^/]*$', 1) AS d FROM packages), g AS (SELECT path, d, unnest(regexp_extract_all(text, '[''"](!?\.?/[^''"]+)[''"]', 1)) AS said FROM f WHERE contains(text, 'import.meta.glob')),
+b AS (SELECT path, starts_with(said, '!') AS out, replace(CASE WHEN ltrim(said, '!')[1] = '/' THEN ltrim(said, '!')[2:] ELSE d || '/' || ltrim(said, '!') END, '/./', '/') AS g FROM g),
+r AS (SELECT path, out, replace(replace(regexp_replace(replace(replace(replace(g, '.', '\.'), '{x,y}', '(x|y)'), '**/', '@'), '\*', '[^/]*', 'g'), '@', '(.*/)?'), '@', '') AS re FROM b), hits AS (SELECT r.path AS src, f.path AS dst, r.out FROM r JOIN f ON regexp_full_match(f.path, re))
+SELECT x.path AS src, y.path AS dst FROM f x JOIN f y ON x.d = y.d AND x.path <> y.path WHERE regexp_matches(x.path, '/(__init__\.py|index\.[jt]sx?)$') AND regexp_matches(x.text, 'iter_modules|require\.context')
+UNION SELECT src, dst FROM hits GROUP BY src, dst HAVING NOT bool_or(out) AND src <> dst""")
+def loaded_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repository.package_edges(I.PACKAGES.df(spark))
+
+
+@query(_with(I.DEPLOYED.sql) + r""", l AS (SELECT CASE WHEN path = 'Dockerfile' THEN 'container' WHEN path = 'Procfile' THEN 'procfile' WHEN ends_with(path, 'package.json') THEN 'package' ELSE 'docs' END AS "by", regexp_extract(path, '^(.*?)/?[^/]*$', 1) AS d, text FROM deployed WHERE NOT regexp_matches(path, '\.(py|cjs|tsx)$')),
+s AS (SELECT "by", d, unnest(regexp_extract_all(text, '[\w./-]+\.(py|cjs|tsx)\b')) AS said FROM l UNION ALL SELECT "by", d, replace(unnest(regexp_extract_all(text, '([\w.]+):\w+', 1)), '.', '/') || '.py' FROM l), n AS (SELECT "by", unnest([regexp_replace(said, '^\./', ''), CASE WHEN d = '' THEN '' ELSE d || '/' END || regexp_replace(said, '^\./', '')]) AS path FROM s),
+k AS (SELECT path, CASE WHEN "by" = 'docs' THEN 'docs' ELSE 'launched' END AS kind, "by" FROM n WHERE path IN (SELECT path FROM deployed) UNION SELECT path, 'tests', 'test runner' FROM deployed WHERE is_test UNION SELECT path, 'launched', 'django' FROM deployed WHERE path = 'app/wsgi.py')
+SELECT * FROM k UNION SELECT path, 'manual', 'main guard' FROM deployed WHERE regexp_matches(coalesce(text, ''), '^#!|__name__ == .__main__.') AND path NOT IN (SELECT path FROM k WHERE kind <> 'docs')""")
+def launched_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repository.entry_points(I.DEPLOYED.df(spark))

@@ -94,6 +94,14 @@ CONFIGS = Inline("configs", "path string, text string", (
     ("web/tsconfig.json", '{\n  // where things are\n  "compilerOptions": {"baseUrl": ".", "paths": {"@/*": ["app/*"], "~kit/*": ["kit/src/*", "kit/*"]}, /* more */ }\n}'), ("tsconfig.json", '{"compilerOptions": {"paths": {"lib/*": ["./shared/*"]}}}'),
     ("old/jsconfig.json", '{"compilerOptions": {"baseUrl": "src", "paths": {"#/*": ["js/*"]}}}'), ("web/package.json", '{"compilerOptions": {"paths": {"no/*": ["no/*"]}}}'), ("bad/tsconfig.json", "no json"),
 ))
+PACKAGES = Inline("packages", "path string, text string", (
+    ("plugins/__init__.py", "for m in pkgutil.iter_modules(__path__): pass"), ("plugins/one.py", None), ("plugins/deep/two.py", ""), ("web/main.ts", "const a = import.meta.glob('./routes/**/*.tsx')\nimport.meta.glob(['/shared/{x,y}.ts', '!/shared/y.ts'])"),
+    ("web/routes/home.tsx", ""), ("web/routes/user/edit.tsx", ""), ("web/routes/user/edit.css", ""), ("web/routesx/no.tsx", ""), ("shared/x.ts", ""), ("shared/y.ts", ""), ("shared/z.ts", ""), ("shared/index.ts", "require.context('.', false, /ts$/)"),
+))
+DEPLOYED = Inline("deployed", "path string, text string, is_test boolean", (
+    ("Dockerfile", "CMD python app/main.py --port 1", False), ("web/package.json", '{"scripts": {"start": "node ./server.cjs", "dev": "tsx src/dev.tsx"}}', False), ("Procfile", "web: gunicorn app.wsgi:application", False), ("README.md", "Run `python app/old.py`.", False),
+    ("app/main.py", "run()", False), ("app/wsgi.py", "", False), ("app/old.py", "#!/usr/bin/env python", False), ("web/server.cjs", None, False), ("web/src/dev.tsx", "", False), ("app/tool.py", "if __name__ == '__main__':\n    run()", False), ("tests/test_a.py", "#!", True),
+))
 TASKS = Inline("tasks", "tier string, task_id string, attempt int, status string, tokens long", (("scout", "s1", 1, "failed", 10), ("scout", "s1", 2, "done", 20), ("scout", "s2", 3, "skipped", 30), ("editor", "e1", 1, "done", 5), ("scout", "s3", 1, "done", 7)))
 DOCUMENTED = Inline("documented", "path string", (("app/main.py",), ("app/old_api.py",)))
 EVIDENCE = Inline("evidence", "a string, b string, kind string, together boolean", (("x", "y", "static_structure", True), ("x", "y", "co_change", False), ("x", "z", "static_structure", True), ("u", "v", "reason_to_change", False), ("u", "v", "co_change", True)))

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from tessera.functions.text import glob_pattern, line_count
 
 #: Languages by extension, and paths that hold tests.
-LANGUAGES = {"py": "python", "js": "javascript", "jsx": "javascript", "mjs": "javascript", "ts": "typescript", "tsx": "typescript", "c": "c", "h": "c", "cc": "cpp", "cpp": "cpp", "hpp": "cpp", "java": "java", "kt": "kotlin", "cs": "csharp", "go": "go", "rs": "rust", "sh": "shell", "md": "docs", "rst": "docs"}
+LANGUAGES = {"py": "python", "js": "javascript", "jsx": "javascript", "mjs": "javascript", "cjs": "javascript", "ts": "typescript", "tsx": "typescript", "mts": "typescript", "cts": "typescript", "c": "c", "h": "c", "cc": "cpp", "cpp": "cpp", "hpp": "cpp", "java": "java", "kt": "kotlin", "cs": "csharp", "go": "go", "rs": "rust", "sh": "shell", "md": "docs", "rst": "docs"}
 TESTS = r"(?:^|/)(?:tests?|__tests__|spec)/|(?:^|/)test_[^/]*$|[._-](?:test|spec)\.[^/.]+$"
 #: Files that a framework runs because of where they are.
 CONVENTIONS = {
@@ -222,11 +222,37 @@ def string_loads(files: DataFrame, known: DataFrame) -> DataFrame:
     return said.join(named, "name").where("src <> dst").select("src", "dst").distinct()
 
 
+def _glob_pattern(glob: Column) -> Column:
+    """glob_pattern for globs that are read from files."""
+    plain = F.regexp_replace(glob, r"([.+^$()|\[\]\\])", r"\\$1")
+    stars = F.regexp_replace(F.regexp_replace(F.regexp_replace(plain, r"\*\*/", "\u0001"), r"\*\*", "\u0002"), r"\*", "[^/]*")
+    any_of = F.replace(F.replace(F.replace(stars, F.lit("{"), F.lit("(?:")), F.lit("}"), F.lit(")")), F.lit(","), F.lit("|"))
+    return F.concat(F.lit("^"), F.replace(F.replace(any_of, F.lit("\u0001"), F.lit("(?:.*/)?")), F.lit("\u0002"), F.lit(".*")), F.lit("$"))
+
+
 def package_edges(files: DataFrame) -> DataFrame:
-    """(src, dst): a package that imports its own directory reaches the modules beside it."""
-    folder = F.regexp_extract("path", r"^(.*)/[^/]*$", 1)
-    own = files.where(F.col("path").rlike(r"/(?:__init__\.py|index\.[jt]sx?)$") & F.coalesce("text", F.lit("")).rlike(r"iter_modules|walk_packages|import_module|import\.meta\.glob|require\.context"))
-    return own.select(F.col("path").alias("src"), folder.alias("d")).join(files.select(F.col("path").alias("dst"), folder.alias("d")), "d").where("src <> dst").select("src", "dst")
+    """(src, dst): files that a package or a bundler's glob loads.
+
+    A package that imports its own directory reaches the modules beside it.  A literal in
+    `import.meta.glob(...)`, of any file, reaches what it matches, seen from that file, or from the
+    root where it begins with a slash; one that begins with `!` takes files out again.  Files are
+    joined by the folder before the first wildcard.
+    """
+    folder = F.regexp_extract("path", r"^(.*?)/?[^/]*$", 1)
+    text = F.coalesce("text", F.lit(""))
+    own = files.where(F.col("path").rlike(r"/(?:__init__\.py|index\.[jt]sx?)$") & text.rlike(r"iter_modules|walk_packages|import_module|require\.context"))
+    beside = own.select(F.col("path").alias("src"), folder.alias("d")).join(files.select(F.col("path").alias("dst"), folder.alias("d")), "d").select("src", "dst")
+    said = F.flatten(F.transform(F.regexp_extract_all(text, F.lit(r"import\.meta\.glob(?:<[^>]*>)?\(\s*(\[[^\]]*\]|['\"`][^'\"`]*['\"`])"), F.lit(1)), lambda s: F.regexp_extract_all(s, F.lit("['\"`]([^'\"`]+)['\"`]"), F.lit(1))))
+    globs = files.select(F.col("path").alias("src"), folder.alias("d"), F.explode(said).alias("said"))
+    place = F.regexp_replace("said", "^!", "")
+    place = F.when(place.startswith("/"), F.substr(place, F.lit(2))).otherwise(F.concat_ws("/", F.when(F.col("d") != "", F.col("d")), place))
+    globs = globs.select("src", F.col("said").startswith("!").alias("out"), _plain(place).alias("glob"))
+    globs = globs.select("src", "out", _glob_pattern(F.col("glob")).alias("pattern"), F.regexp_extract("glob", r"^([^*{]*?)/?[^/*{]*(?:[*{].*)?$", 1).alias("base"))
+    parts = F.slice(F.split("path", "/"), F.lit(1), F.size(F.split("path", "/")) - 1)
+    above = F.transform(F.sequence(F.lit(0), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
+    known = files.select(F.col("path").alias("dst"), F.explode(above).alias("base"))
+    hit = globs.join(known, "base").where("dst rlike pattern").groupBy("src", "dst").agg(F.max("out").alias("out")).where("not out").select("src", "dst")
+    return beside.unionByName(hit).where("src <> dst").distinct()
 
 
 def entry_points(files: DataFrame) -> DataFrame:
@@ -237,7 +263,7 @@ def entry_points(files: DataFrame) -> DataFrame:
     known = files.select("path")
     launcher = F.coalesce(*(F.when(F.col("path").rlike(p), F.lit(k)) for k, p in LAUNCHERS.items()))
     scripts = files.withColumn("by", launcher).where("by IS NOT NULL")
-    words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"[\w./-]+\.(?:py|js|mjs|ts|sh)\b"), F.lit(0))
+    words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"[\w./-]+\.(?:py|[cm]?[jt]s|[jt]sx|sh)\b"), F.lit(0))
     module = F.transform(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"-m\s+([\w.]+)|([\w.]+):\w+"), F.lit(0)), lambda s: F.concat(F.replace(F.regexp_replace(s, r"^-m\s+|:\w+$", ""), F.lit("."), F.lit("/")), F.lit(".py")))
     named = scripts.select("by", F.regexp_extract("path", r"^(.*?)/?[^/]*$", 1).alias("d"), F.explode(F.concat(words, module)).alias("said"))
     place = F.regexp_replace("said", r"^(?:\./)+", "")
