@@ -448,32 +448,34 @@ def compose(maps: DataFrame, most: int) -> DataFrame:
 def count_tokens(docs: DataFrame, path: str, text_col: str = "text", chunk: int = CHUNK, broadcast_rows: int = 1_000_000) -> DataFrame:
     """docs, all columns, with _n_tokens: tokens of each whole text as a long.
 
-    Texts of at most `chunk` characters are counted where they are.  Longer ones are counted once
-    for all copies, by the maps of their chunks; those whose maps do not meet are counted from
-    their start.  0 for null and empty texts; rows that repeat stay; an empty table gives an empty
-    result; an input column _n_tokens is replaced.
+    Texts of at most `chunk` bytes are counted where they are.  Longer ones are counted once for
+    all copies, by the maps of their chunks; those whose maps do not meet are counted from their
+    start.  0 for null and empty texts; rows that repeat stay; an empty table gives an empty
+    result; an input column _n_tokens is replaced.  Texts are read twice and only those of long
+    texts' chunks move.
     """
     if chunk < BACK:
         raise ValueError(f"chunks have at least {BACK} characters")
     with open(path, encoding="utf-8") as f:
         spec = f.read()
-    docs, restored = set_aside(docs, ("_text_hash",), ("_n_tokens",), text_col)
+    docs, restored = set_aside(docs, ("_text_hash", "_n_short"), ("_n_tokens",), text_col)
     text, names = F.col(f"`{text_col}`"), [F.col(f"`{c}`") for c in docs.columns]
-    is_long = F.coalesce(F.length(text), F.lit(0)) > chunk
-    short = docs.where(~is_long).select(*names, token_counts(text, path).alias("_n_tokens"))
-    long = docs.where(is_long).withColumn("_text_hash", F.sha2(text, 256))
-    distinct = long.select(F.col("_text_hash").alias("hash"), F.length(text).alias("n"))
-    most = distinct.agg(F.max("n")).first()[0]
+    is_long = F.coalesce(F.octet_length(text), F.lit(0)) > chunk
+    long = docs.where(is_long).select(F.sha2(text, 256).alias("hash"), text.alias("text"))
+    maps = materialize(chunk_maps(long, spec, chunk).dropDuplicates(["hash", "index"]), "chunk-maps")
+    most = maps.agg(F.max("index")).first()[0]
     if most is None:
-        return restored(short)
-    maps = chunk_maps(long.select(F.col("_text_hash").alias("hash"), text.alias("text")), spec, chunk).dropDuplicates(["hash", "index"])
+        return restored(docs.select(*names, token_counts(text, path).alias("_n_tokens")))
     whole = F.filter("map", lambda e: e["enter"] == START)
-    counts = compose(maps, -(-most // chunk)).select(F.col("hash").alias("_text_hash"), F.try_element_at(whole, F.lit(1))["n"].alias("_n_tokens"))
+    counts = compose(maps, most + 1).select(F.col("hash").alias("_text_hash"), F.try_element_at(whole, F.lit(1))["n"].alias("_n_tokens"))
     counts = materialize(counts, "long-texts")
-    lost = counts.where("_n_tokens is null").select("_text_hash")
+    lost = counts.where("_n_tokens is null").select(F.col("_text_hash").alias("hash"))
     if not lost.isEmpty():
-        again = long.join(broadcast_if(lost, broadcast_rows), "_text_hash", "left_semi")
-        again = again.select("_text_hash", token_counts(text, path).alias("_n_tokens")).groupBy("_text_hash").agg(F.max("_n_tokens").alias("_n_tokens"))
+        again = long.join(broadcast_if(lost, broadcast_rows), "hash", "left_semi")
+        again = again.select(F.col("hash").alias("_text_hash"), token_counts(F.col("text"), path).alias("_n_tokens")).groupBy("_text_hash").agg(F.max("_n_tokens").alias("_n_tokens"))
         counts = materialize(counts.where("_n_tokens is not null").unionByName(again), "long-texts")
-    found = long.join(broadcast_if(counts, broadcast_rows), "_text_hash").select(*names, "_n_tokens")
-    return restored(short.unionByName(found))
+    # Short texts have keys that meet none, many of them, so that a shuffled join does not gather them.
+    key = F.when(is_long, F.sha2(text, 256)).otherwise(F.hex(F.xxhash64(text)))
+    rows = docs.select(*names, key.alias("_text_hash"), token_counts(F.when(~is_long, text), path).alias("_n_short"))
+    rows = rows.join(broadcast_if(counts, broadcast_rows), "_text_hash", "left")
+    return restored(rows.select(*names, F.coalesce("_n_tokens", "_n_short").alias("_n_tokens")))

@@ -13,7 +13,7 @@ def odd(spark):
         (9, "A.", "fr", "c", 2), (9, "A.", "fr", "c", 2), (9, "B.", "fr", "c", 2), (10, "1234 -- !!", None, "c", 9),
     ]
     docs = spark.createDataFrame(rows, SCHEMA)
-    extra = ("keep_id", "kept", "group_size", "fingerprint", "component_id", "fp", "id", "size", "key", "score", "_size", "_hash", "_stats", "media", "n", "u", "v", "_source_size", "_target", "_copies", "_source", "_rate", "_KEY", "_prefix", "_before", "_inner", "_range", "_offset", "_shard", "_slot", "_keep_id", "_group_size", "_kept", "_of", "_least", "_n", "_row_key", "_shared")
+    extra = ("keep_id", "kept", "group_size", "fingerprint", "component_id", "fp", "id", "size", "key", "score", "_size", "_hash", "_stats", "media", "n", "u", "v", "_source_size", "_target", "_copies", "_source", "_rate", "_KEY", "_prefix", "_before", "_inner", "_range", "_offset", "_shard", "_slot", "_keep_id", "_group_size", "_kept", "_of", "_least", "_n", "_row_key", "_shared", "_text_hash", "_n_short", "hash")
     from pyspark.sql import functions as F
 
     return docs.select("*", *(F.lit("x").alias(c) for c in extra))

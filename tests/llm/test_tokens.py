@@ -171,3 +171,12 @@ def test_every_code_point_counts_as_in_the_library(counter, tokenizer):
     for a in range(0, len(points), 4096):
         text = "x".join(points[a : a + 4096]) + " " + " ".join(points[a : a + 4096])
         assert counter.count(text) == len(tokenizer.encode(text, add_special_tokens=False).ids), a
+
+
+def test_counted_odd_rows(odd, nothing, tokenizer):
+    out = transducer.count_tokens(odd, BPE)
+    assert out.columns == [*odd.columns, "_n_tokens"] and out.count() == odd.count()
+    for r in out.collect():
+        assert r._n_tokens == len(tokenizer.encode(r.text or "", add_special_tokens=False).ids) and r._text_hash == r._n_short == r.hash == "x"
+    assert transducer.count_tokens(out.drop("_n_short"), BPE).count() == odd.count()
+    assert transducer.count_tokens(nothing, BPE).count() == 0
