@@ -85,6 +85,28 @@ def clone_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clones.similar_pairs(_fingerprints(spark, sf_dir), "doc_id")[1]
 
 
+SHINGLES = """ta AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+') AS a FROM documents),
+fp AS (SELECT DISTINCT doc_id, md5(w) AS fp FROM (SELECT doc_id, unnest(CASE WHEN len(a) < 5 THEN [array_to_string(a, ' ')] ELSE list_transform(range(1, len(a) - 3), lambda i: array_to_string(a[i:i + 4], ' ')) END) AS w FROM ta))"""
+
+
+def _shingles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return materialize(clones.shingle_rows(spread(_documents(spark, sf_dir).select("doc_id", "text"))), "shingles")
+
+
+@query(_with(SHINGLES, SETS) + """, c AS (SELECT doc_id, n, fp FROM classes JOIN sets USING (doc_id)),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, x.n AS n_a, y.n AS n_b, count(*) AS shared FROM c x JOIN c y ON x.fp = y.fp AND x.doc_id < y.doc_id GROUP BY ALL)
+SELECT a, b, shared, round(shared / (n_a + n_b - shared), 6) AS similarity FROM p WHERE shared / (n_a + n_b - shared) >= 0.8""")
+def near_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of classes by all five-token shingles; `clone_pairs` goes by winnowed ones."""
+    return clones.similar_pairs(_shingles(spark, sf_dir), "doc_id")[0]
+
+
+@query(_with(SHINGLES, SETS) + "SELECT w.doc_id, c.doc_id AS class FROM whole w JOIN classes c USING (n, s)")
+def near_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class of every document, however short."""
+    return clones.similar_pairs(_shingles(spark, sf_dir), "doc_id")[1]
+
+
 @query(_with(FP, _fp_sql("bp", "benchmark", "item_id")) + """, w AS (SELECT DISTINCT item_id, fp FROM bp), z AS (SELECT item_id, count(*) AS n FROM w GROUP BY item_id),
 m AS (SELECT item_id, doc_id, count(*) AS shared FROM (SELECT DISTINCT doc_id, fp FROM fp) JOIN w USING (fp) GROUP BY ALL)
 SELECT item_id, doc_id, shared, round(shared / n, 6) AS share FROM m JOIN z USING (item_id) WHERE shared >= 0.5 * n""")
@@ -118,6 +140,12 @@ def rule_of_three(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.rule_of_three(copies, copies.limit(0))
 
 
+@query(_with(I.BLOCKS.sql, I.LOCKSTEP.sql) + "SELECT fp, copies FROM blocks WHERE copies >= 3 OR fp IN (SELECT fp FROM lockstep)")
+def lockstep_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both halves of the rule: three copies, or fewer that must change together."""
+    return P.rule_of_three(I.BLOCKS.df(spark), I.LOCKSTEP.df(spark))
+
+
 @query(_with(FP) + """, s AS (SELECT DISTINCT source, fp FROM fp JOIN documents USING (doc_id)), z AS (SELECT source, count(*) AS n FROM s GROUP BY source),
 p AS (SELECT x.source AS a, y.source AS b, count(*) AS shared FROM s x JOIN s y ON x.fp = y.fp AND x.source < y.source GROUP BY ALL)
 SELECT a, b, shared, round(shared / least(u.n, v.n), 6) AS share FROM p JOIN z u ON u.source = a JOIN z v ON v.source = b WHERE round(shared / least(u.n, v.n), 6) >= 0.01""")

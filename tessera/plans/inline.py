@@ -105,6 +105,8 @@ DEPLOYED = Inline("deployed", "path string, text string, is_test boolean", (
 TASKS = Inline("tasks", "tier string, task_id string, attempt int, status string, tokens long", (("scout", "s1", 1, "failed", 10), ("scout", "s1", 2, "done", 20), ("scout", "s2", 3, "skipped", 30), ("editor", "e1", 1, "done", 5), ("scout", "s3", 1, "done", 7)))
 DOCUMENTED = Inline("documented", "path string", (("app/main.py",), ("app/old_api.py",)))
 EVIDENCE = Inline("evidence", "a string, b string, kind string, together boolean", (("x", "y", "static_structure", True), ("x", "y", "co_change", False), ("x", "z", "static_structure", True), ("u", "v", "reason_to_change", False), ("u", "v", "co_change", True)))
+BLOCKS = Inline("blocks", "fp string, copies long", (("one", 1), ("pair", 2), ("tied pair", 2), ("three", 3), ("tied four", 4)))
+LOCKSTEP = Inline("lockstep", "fp string", (("tied pair",), ("tied pair",), ("tied four",), ("elsewhere",), (None,)))
 SCORES = Inline("scores", "name string, weighted double, loc long, critical long, high long, copied_share double", (
     ("clean", 0.0, 1000, 0, 0, 0.0), ("just A", 0.999, 1000, 0, 0, 0.0), ("B at 1", 1.0, 1000, 0, 0, 0.0), ("C at 2", 2.0, 1000, 0, 0, 0.0), ("D at 4", 4.0, 1000, 0, 0, 0.0), ("F at 8", 8.0, 1000, 0, 0, 0.0),
     ("one critical", 10.0, 289293, 1, 0, 0.0), ("four high", 12.0, 289293, 0, 4, 0.0), ("five high", 15.0, 289293, 0, 5, 0.0), ("nine high", 27.0, 289293, 0, 9, 0.0), ("hundred high", 300.0, 289293, 0, 100, 0.0),

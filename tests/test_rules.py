@@ -222,3 +222,31 @@ def test_short_fingerprints_stand_for_wide_ones(spark):
     wide, short = clones.winnow(docs), clones.winnow(docs, wide=False)
     both = wide.select("doc_id", "pos", F.substring("fp", 1, 16).alias("x")).exceptAll(short.select("doc_id", "pos", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("x")))
     assert both.isEmpty() and wide.count() == short.count() > 0
+
+
+def test_whole_shingles_give_every_document_a_class(spark):
+    random.seed(11)
+    base = [[f"w{random.randrange(900)}" for _ in range(60)] for _ in range(10)]
+    texts = [None, "", "!!", "one two", "One, two", "one two three four five", "one two three four"]
+    for b in base:
+        for changes in (0, 0, 1, 1, 2, 3):
+            d = list(b)
+            for _ in range(changes):
+                d[random.randrange(len(d))] = f"x{random.randrange(99)}"
+            texts.append(" ".join(d))
+    rows = clones.shingle_rows(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).cache()
+    sets = {}
+    for i, t in enumerate(texts):
+        w = [x for x in "".join(c if c.isalnum() else " " for c in (t or "").lower()).split()]
+        sets[i] = frozenset(tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4)))
+    assert rows.count() == sum(map(len, sets.values()))
+    least = {}
+    for i, s in sets.items():
+        least.setdefault(s, i)
+    reps = sorted(least.values())
+    want = {(a, b, len(sets[a] & sets[b])) for a in reps for b in reps if a < b and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8}
+    pairs, member = clones.similar_pairs(rows, "doc_id")
+    assert {(r.a, r.b, r.shared) for r in pairs.collect()} == want and want
+    assert {r.doc_id: r["class"] for r in member.collect()} == {i: least[s] for i, s in sets.items()}
+    empty = clones.similar_pairs(rows.limit(0), "doc_id")
+    assert empty[0].isEmpty() and empty[1].isEmpty()
