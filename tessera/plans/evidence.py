@@ -77,12 +77,12 @@ classes AS (SELECT min(doc_id) AS doc_id, n, s FROM whole GROUP BY n, s)"""
 p AS (SELECT x.doc_id AS a, y.doc_id AS b, x.n AS n_a, y.n AS n_b, count(*) AS shared FROM c x JOIN c y ON x.fp = y.fp AND x.doc_id < y.doc_id GROUP BY ALL)
 SELECT a, b, shared, round(shared / (n_a + n_b - shared), 6) AS similarity FROM p WHERE shared / (n_a + n_b - shared) >= 0.8""")
 def clone_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clones.similar_pairs(_fingerprints(spark, sf_dir), "doc_id")[0]
+    return clones.similar_pairs(_winnowed(spark, sf_dir, wide=False), "doc_id")[0]
 
 
 @query(_with(FP, SETS) + "SELECT w.doc_id, c.doc_id AS class FROM whole w JOIN classes c USING (n, s)")
 def clone_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clones.similar_pairs(_fingerprints(spark, sf_dir), "doc_id")[1]
+    return clones.similar_classes(_winnowed(spark, sf_dir, wide=False), "doc_id")
 
 
 SHINGLES = """ta AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+') AS a FROM documents),
@@ -90,7 +90,7 @@ fp AS (SELECT DISTINCT doc_id, md5(w) AS fp FROM (SELECT doc_id, unnest(CASE WHE
 
 
 def _shingles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return materialize(clones.shingle_rows(spread(_documents(spark, sf_dir).select("doc_id", "text"))), "shingles")
+    return clones.shingle_rows(spread(_documents(spark, sf_dir).select("doc_id", "text")))
 
 
 @query(_with(SHINGLES, SETS) + """, c AS (SELECT doc_id, n, fp FROM classes JOIN sets USING (doc_id)),
@@ -104,7 +104,7 @@ def near_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_with(SHINGLES, SETS) + "SELECT w.doc_id, c.doc_id AS class FROM whole w JOIN classes c USING (n, s)")
 def near_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The class of every document, however short."""
-    return clones.similar_pairs(_shingles(spark, sf_dir), "doc_id")[1]
+    return clones.similar_classes(_shingles(spark, sf_dir), "doc_id")
 
 
 @query(_with(FP, _fp_sql("bp", "benchmark", "item_id")) + """, w AS (SELECT DISTINCT item_id, fp FROM bp), z AS (SELECT item_id, count(*) AS n FROM w GROUP BY item_id),
