@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tessera.functions.text import parent
 
@@ -26,8 +26,16 @@ def gathered(notes: list[DataFrame]) -> DataFrame:
     return rows.groupBy("subject").agg(F.array_join(F.sort_array(F.collect_list("note")), "\n").alias("notes"))
 
 
+def partners(co_change: DataFrame, most: int = 5) -> DataFrame:
+    """(path, other, together): of the files that change with each file the `most` that do so most often; equals by name."""
+    both = co_change.select(F.col("a").alias("path"), F.col("b").alias("other"), "together")
+    both = both.unionByName(co_change.select(F.col("b").alias("path"), F.col("a").alias("other"), "together"))
+    first = Window.partitionBy("path").orderBy(F.col("together").desc(), "other")
+    return both.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= most).drop("_n")
+
+
 def by_file(evidence: dict[str, DataFrame]) -> DataFrame:
-    """(subject, notes) for each path: reach, importers, commits, age, copies, restated comments, long functions, seams."""
+    """(subject, notes) for each path: reach, importers, commits, age, what changes with it, copies, restated comments, long functions, seams."""
     made = []
     if "reach" in evidence:
         made.append(said(evidence["reach"].where("reach IS NOT NULL"), "path", "reach:", F.col("reach")))
@@ -37,6 +45,8 @@ def by_file(evidence: dict[str, DataFrame]) -> DataFrame:
         made.append(said(evidence["churn"], "path", "commits in the window:", F.col("commits")))
     if "age" in evidence:
         made.append(said(evidence["age"].where("age_days IS NOT NULL"), "path", "created", F.col("age_days"), "days before the last commit"))
+    if "co_change" in evidence:
+        made.append(said(partners(evidence["co_change"]), "path", "changes with", F.col("other"), "in", F.col("together"), "commits"))
     if "copied" in evidence:
         made.append(said(evidence["copied"], "path", "copied tokens:", F.col("copied")))
     if "restated" in evidence:
@@ -63,7 +73,7 @@ def by_module(evidence: dict[str, DataFrame]) -> DataFrame:
 
 
 def of_all(evidence: dict[str, DataFrame]) -> DataFrame:
-    """(subject, notes) of one row: largest copies, parallel trees, cycles, co-change, what docs and configuration disagree on."""
+    """(subject, notes) of one row: largest copies, parallel trees, cycles, what docs and configuration disagree on."""
     made = []
     if "largest_copies" in evidence:
         made.append(said(evidence["largest_copies"].withColumn("_all", F.lit("all")), "_all", "copied tokens:", F.col("copied"), "in", F.col("path")))
