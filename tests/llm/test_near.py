@@ -119,3 +119,40 @@ def test_joining_gives_as_many_links_as_it_joins_groups():
         links = near.joining(a, b, 0.8)
         same = lambda root: {(p, q) for p in root for q in root if root[p] == root[q]}
         assert set(links) <= set(pairs) and same(groups(links)) == same(groups(pairs)) and len(links) <= 3
+
+
+def test_the_near_stage_links_by_fingerprints(spark, nothing, monkeypatch):
+    """Two alike texts are one document only if their SimHash fingerprints are within the distance."""
+    words = [f"w{i}" for i in range(60)]
+    rows = [(1, " ".join(words), None, None, None), (2, " ".join(words[:-1] + ["x"]), None, None, None)]
+    docs = spark.createDataFrame(rows, nothing.schema)
+    assert [r.doc_id for r in corpus_pipeline.near_stage(spark, docs, SF).collect()] == [1]
+    monkeypatch.setattr(near, "distance_of", lambda similarity: -1)
+    assert sorted(r.doc_id for r in corpus_pipeline.near_stage(spark, docs, SF).collect()) == [1, 2]
+
+
+@pytest.mark.parametrize("marks", [3, 4, 5])
+def test_texts_at_the_similarity_share_a_key_and_most_bits(marks):
+    """Sets of exactly 0.8, of every size, where SimHash errs most; sets with nothing in common differ in half the bits."""
+    import numpy as np
+
+    draws = np.random.default_rng(5)
+    for n in (4, 16, 80, 400):
+        whole = [draws.integers(1 << 64, size=n * 5 // 4, dtype=np.uint64) for _ in range(100)]
+        a, b = near.counters([s[:n] for s in whole]), near.counters(whole)
+        differing = np.bitwise_count((near.kept_bits(a) ^ near.kept_bits(b)).view(np.uint64)).sum(axis=1)
+        others = np.bitwise_count((near.kept_bits(a) ^ near.kept_bits(np.roll(b, 1, axis=0))).view(np.uint64)).sum(axis=1)
+        assert differing.max() <= near.distance_of(0.8) < others.min()
+        keys = near.mark_keys(a, marks), near.mark_keys(b, marks)
+        assert all(set(x) & set(y) for x, y in zip(*keys, strict=True))
+
+
+def test_more_texts_take_more_marks():
+    assert [near.fewest_marks(n) for n in (0, 10_000, 200_000, 10_000_000, 10**9)] == [3, 3, 4, 5, 5]
+
+
+@pytest.mark.parametrize("marks", [3, 5])
+def test_any_number_of_marks_gives_the_same_rows(spark, marks):
+    docs = corpus_pipeline.exact_stage(spark, spark.read.parquet(f"{SF}/documents.parquet"), SF).cache()
+    want, _ = survivors([(r.doc_id, r.text) for r in docs.collect()])
+    assert sorted(r.doc_id for r in near.near_dedup(docs, marks=marks).collect()) == want
