@@ -156,3 +156,65 @@ def test_any_number_of_marks_gives_the_same_rows(spark, marks):
     docs = corpus_pipeline.exact_stage(spark, spark.read.parquet(f"{SF}/documents.parquet"), SF).cache()
     want, _ = survivors([(r.doc_id, r.text) for r in docs.collect()])
     assert sorted(r.doc_id for r in near.near_dedup(docs, marks=marks).collect()) == want
+
+
+def test_chance_and_large_groups_leave_few_pairs(spark, nothing, monkeypatch):
+    """Unrelated texts become no pair that is joined with fingerprints; texts of a template at most a few each."""
+    random.seed(11)
+    seen, close = [], near._close
+
+    def counting(pairs, *rest):
+        seen.append(pairs.count())
+        return close(pairs, *rest)
+
+    monkeypatch.setattr(near, "_close", counting)
+    unrelated = [" ".join(f"w{random.randrange(9999)}" for _ in range(20)) for _ in range(3000)]
+    base, template = [f"v{i}" for i in range(100)], []
+    for _ in range(200):
+        text = list(base)
+        for _ in range(2):
+            text[random.randrange(100)] = f"x{random.randrange(9999)}"
+        template.append(" ".join(text))
+    for texts, most in ((unrelated, 30), (template, 5 * len(template))):
+        seen.clear()
+        docs = spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(texts)], nothing.schema)
+        want, _ = survivors(list(enumerate(texts)))
+        assert sorted(r.doc_id for r in near.near_dedup(docs).collect()) == want
+        assert sum(seen) <= most
+
+
+def test_alike_covers_all_pairs_across_groups():
+    import numpy as np
+
+    draws = np.random.default_rng(1)
+    for n, keys in ((0, 1), (5, 1), (60, 3), (300, 1), (300, 9), (700, 1)):
+        rows = np.zeros(n, dtype=near._ENTRY)
+        flips = np.bitwise_or.reduce(np.uint64(1) << draws.integers(0, 64, (n, 8)).astype(np.uint64), axis=1)
+        some = draws.integers(1 << 64, size=4, dtype=np.uint64)[draws.integers(0, 4, n)] ^ flips
+        rows["c"] = np.where(draws.random(n) < 0.5, draws.integers(1 << 64, size=n, dtype=np.uint64), some)
+        rows["k"], rows["t"] = draws.integers(0, keys, n), draws.permutation(n)
+        rows["g"] = np.where(draws.random(n) < 0.5, rows["t"], -draws.integers(1, 4, n))
+        pairs, crowds = near.alike(np.concatenate([rows, rows]))
+        least = dict(reversed(x) for x in near.stars(crowds))
+        assert all(len({least.get(t, t) for t in crowd.tolist()}) == 1 < near.FEW < len(set(crowd)) for crowd in crowds)
+        found = {tuple(x) for x in pairs.tolist()} | {p for crowd in crowds for p in combinations(crowd.tolist(), 2)}
+        for x, y in combinations(sorted(rows.tolist(), key=lambda r: r[2]), 2):
+            if x[0] == y[0] and x[3] != y[3] and (x[1] ^ y[1]).bit_count() <= near.ALIKE:
+                assert (x[2], y[2]) in found
+
+
+def test_each_text_has_all_its_keys_in_the_buckets(spark, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(near, "PACKED", 1000)
+    docs = spark.createDataFrame([(i, f"{i} b c d e f g h") for i in range(70)], "t long, x string")
+    keyed = docs.select("t", near.prints(docs.x, marks=3).alias("p")).selectExpr("t", "p.keys", "p.checks", "-t AS g")
+    for parts in (1, 4):
+        rows = near._packed(keyed, 3, 5, parts).collect()
+        assert len(rows) > 5 * parts and {r.bucket // parts for r in rows} == set(range(5))
+        each = np.concatenate([np.frombuffer(r.data, dtype=near._ENTRY) for r in rows])
+        bucket = np.repeat([r.bucket for r in rows], [len(r.data) // near._ENTRY.itemsize for r in rows])
+        assert (each["g"] == -each["t"]).all()
+        got = sorted(zip(each["t"].tolist(), (bucket // parts).tolist(), each["k"].tolist(), each["c"].astype(np.int64).tolist(), strict=True))
+        assert got == sorted((r.t, i % 24, k, r.checks[i % 24]) for r in keyed.collect() for i, k in enumerate(r["keys"]) if i % 24 < 5)
+        assert len({(b // parts, k, b) for b, k in zip(bucket.tolist(), each["k"].tolist(), strict=True)}) == len({(b // parts, k) for b, k in zip(bucket.tolist(), each["k"].tolist(), strict=True)})
