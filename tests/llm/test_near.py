@@ -218,3 +218,22 @@ def test_each_text_has_all_its_keys_in_the_buckets(spark, monkeypatch):
         got = sorted(zip(each["t"].tolist(), (bucket // parts).tolist(), each["k"].tolist(), each["c"].astype(np.int64).tolist(), strict=True))
         assert got == sorted((r.t, i % 24, k, r.checks[i % 24]) for r in keyed.collect() for i, k in enumerate(r["keys"]) if i % 24 < 5)
         assert len({(b // parts, k, b) for b, k in zip(bucket.tolist(), each["k"].tolist(), strict=True)}) == len({(b // parts, k) for b, k in zip(bucket.tolist(), each["k"].tolist(), strict=True)})
+
+
+@pytest.mark.parametrize("rows", [20, 1 << 13])
+def test_crowds_are_compared_as_one_cluster_up_to_a_size(spark, nothing, monkeypatch, rows):
+    """A text stands once in its cluster, however many keys it shares; in larger clusters once in each crowd."""
+    monkeypatch.setattr(near, "CLUSTER_ROWS", rows)
+    random.seed(13)
+    seen, across = [], near._across
+    monkeypatch.setattr(near, "_across", lambda rest, *args: seen.append(rest.count()) or across(rest, *args))
+    base, texts = [f"w{i}" for i in range(100)], []
+    for _ in range(150):
+        text = list(base)
+        for _ in range(3):
+            text[random.randrange(100)] = f"x{random.randrange(9999)}"
+        texts.append(" ".join(text))
+    docs = spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(texts)], nothing.schema)
+    want, _ = survivors(list(enumerate(texts)))
+    assert sorted(r.doc_id for r in near.near_dedup(docs).collect()) == want
+    assert seen and (seen[0] <= len(texts)) == (rows > 20)
